@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import bitsliced, chat, media
 
 QUERIES = {
+    "op1_bit_sliced_top_k": bitsliced.op1_bit_sliced_top_k,
+    "op4_media_columns": media.op4_media_columns,
     "op7_chat_formatting": chat.op7_chat_formatting,
 }
 
 ORACLES = {
+    "op1_bit_sliced_top_k": bitsliced.OP1_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
 }
