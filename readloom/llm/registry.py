@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bitsliced, chat, media, token_files
+from . import bitsliced, chat, media, packing, token_files
 
 QUERIES = {
     "op1_bit_sliced_top_k": bitsliced.op1_bit_sliced_top_k,
     "op3_token_stream_files": token_files.op3_token_stream_files,
     "op4_media_columns": media.op4_media_columns,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_chat_formatting": chat.op7_chat_formatting,
 }
 
