@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bitsliced, chat, media, packing, token_files
+from . import bitsliced, chat, media, near_dup, packing, token_files
 
 QUERIES = {
     "op1_bit_sliced_top_k": bitsliced.op1_bit_sliced_top_k,
+    "op2_minhash_near_dedup": near_dup.op2_minhash_near_dedup,
     "op3_token_stream_files": token_files.op3_token_stream_files,
     "op4_media_columns": media.op4_media_columns,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_bit_sliced_top_k": bitsliced.OP1_SQL,
+    "op2_minhash_near_dedup": near_dup.OP2_SQL,
     "op7_chat_formatting": chat.OP7_SQL,
 }
