@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, chat, media, near_dup, packing, token_files
+from . import bitsliced, chat, media, near_dup, packing, passages, token_files
 
 QUERIES = {
     "op1_bit_sliced_top_k": bitsliced.op1_bit_sliced_top_k,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_stream_files": token_files.op3_token_stream_files,
     "op4_media_columns": media.op4_media_columns,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_substring_dedup": passages.op6_substring_dedup,
     "op7_chat_formatting": chat.op7_chat_formatting,
 }
 
