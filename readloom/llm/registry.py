@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, chat, media, near_dup, packing, passages, token_files
+from . import bitsliced, chat, language, media, near_dup, packing, passages, quality, token_files
 
 QUERIES = {
     "op1_bit_sliced_top_k": bitsliced.op1_bit_sliced_top_k,
@@ -12,6 +12,8 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_substring_dedup": passages.op6_substring_dedup,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_language_id": language.op8_language_id,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 ORACLES = {
