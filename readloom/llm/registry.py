@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, chat, language, media, near_dup, packing, passages, quality, token_files
+from . import bitsliced, chat, language, media, mixing, near_dup, packing, passages, quality, token_files
 
 QUERIES = {
     "op1_bit_sliced_top_k": bitsliced.op1_bit_sliced_top_k,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring_dedup": passages.op6_substring_dedup,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_language_id": language.op8_language_id,
+    "op9_soft_mixing": mixing.op9_soft_mixing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
