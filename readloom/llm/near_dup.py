@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .bytescan import mix, row_groups, shingles, text_buffer, words
 from .components import connected_components
+from .narrow import marked
 from .scratch import Scratch
 
 K = 64
@@ -58,7 +59,7 @@ def fingerprint(values: np.ndarray) -> tuple[int, int]:
     return int(mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)), int(mix(x + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).astype(np.int64))
 
 
-SKETCHES = "row long, doc_id long, n long, f1 long, f2 long, sketch array<long>"
+SKETCHES = "row long, doc_id long, h long, n long, f1 long, f2 long, sketch array<long>"
 
 
 def _sketch(width: int, k: int):
@@ -74,8 +75,8 @@ def _sketch(width: int, k: int):
                     parts.append(values[:k])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
-                columns = [rows.column("row"), rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), sketch]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "f1", "f2", "sketch"])
+                columns = [rows.column("row"), rows.column("doc_id"), rows.column("h"), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), sketch]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "h", "n", "f1", "f2", "sketch"])
 
     return run
 
@@ -150,7 +151,7 @@ def floor_of_estimate(percent: int, k: int) -> float:
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """Per row of ``documents``: row, doc_id, n_shingles, component_id, first.
+    """Per row of ``documents``: row, doc_id, h (hash of the text), n_shingles, component_id, first.
 
     Documents are linked where 100 * common shingles >= percent * shingles of
     both, on sets of ``width``-word shingles (words: runs of characters other
@@ -164,7 +165,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     spark = documents.sparkSession
     scratch = Scratch(spark, "neardup")
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = scratch.table(plain.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_sketch(width, k), SKETCHES), "sketches")
+    sketches = scratch.table(plain.withColumns({"row": F.monotonically_increasing_id(), "h": F.xxhash64("text")}).mapInArrow(_sketch(width, k), SKETCHES), "sketches")
     order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("row"))
     classes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min(order).alias("least"))
     classes = scratch.table(classes.select("f1", "f2", F.col("least.row").alias("node"), F.col("least.d").alias("doc_id")), "classes")
@@ -212,9 +213,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     heads = labelled.groupBy("component").agg(head).select("component", F.col("head.doc_id").alias("component_id"), F.col("head.node").alias("first_row"))
     of_class = labelled.join(heads, "component").select("node", "component_id", "first_row")
     of_class = classes.select("f1", "f2", "node").join(of_class, "node").select("f1", "f2", "component_id", "first_row")
-    rows = sketches.select("row", "doc_id", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2")
+    rows = sketches.select("row", "doc_id", "h", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2")
     out = rows.join(of_class, ["f1", "f2"], "left").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"),
+        "row", "doc_id", "h", F.col("n").alias("n_shingles"),
         F.when(F.col("first_row").isNull(), F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(2**63 - 1))).alias("component_id"),
         (F.col("first_row").isNull() | (F.col("first_row") == F.col("row"))).alias("first"),
     )
@@ -223,6 +224,19 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     return out
 
 
+def without_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each component, the first; texts without shingles all stay."""
+    found = near_duplicates(documents, width, percent).where("n_shingles > 0")
+    keyed = found.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_doc"), F.col("h").alias("_h"), "first")
+    state = keyed.groupBy("_doc", "_h").agg(F.max("first").alias("_stays"), F.count("*").alias("_n")).where("not _stays or _n > 1")
+    tagged = documents.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.xxhash64("text")})
+    tagged = marked(tagged, F.xxhash64("_doc", "_h"), state, F.xxhash64("_doc", "_h"), "_hit")
+    met = tagged.where("_hit").join(state, ["_doc", "_h"], "left")
+    names = documents.columns
+    once = met.where("_stays").dropDuplicates(["_doc", "_h"]).select(*names)
+    return tagged.where("not _hit").select(*names).unionByName(met.where("_stays is null").select(*names)).unionByName(once)
+
+
 class _Check:
     """Estimates and then decides pairs of classes."""
 
@@ -238,7 +252,9 @@ class _Check:
         near = near.where(estimate(F.col("s"), F.col("t"), self.k) >= floor_of_estimate(self.percent, self.k)).select("a", "b")
         near = self.scratch.table(near, f"near-{tag}")
         wanted = self.classes.join(ends(near), "node", "left_semi")
-        texts = self.plain.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text").join(wanted, "doc_id").select("node", "f1", "f2", "text")
+        texts = self.plain.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
+        texts = marked(texts, F.xxhash64("doc_id"), wanted, F.xxhash64("doc_id"), "hit").where("hit").drop("hit")
+        texts = texts.join(wanted, "doc_id").select("node", "f1", "f2", "text")
         sets = texts.mapInArrow(_sets(self.width), "node long, set binary").dropDuplicates(["node"])
         sets = self.scratch.table(sets, f"sets-{tag}")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")

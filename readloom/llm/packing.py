@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -141,56 +141,49 @@ def fillings(counts: dict[int, int], sizes: np.ndarray, room: int, most: int = F
 
 @dataclass
 class Search:
+    """Depth-first search over completions, on one array of counts that steps take from and give back to."""
+
     capacity: int
     bound: int
     best: list[Pattern]
     used: int
     nodes: int = NODES
-    plan: list[Pattern] = field(default_factory=list)
 
-    def run(self, counts: dict[int, int], total: int, used: int) -> None:
-        """Depth first; ``total`` is the length still open, ``used`` the sequences closed so far."""
-        stack = [(counts, total, used, ())]
-        while stack and self.used > self.bound and self.nodes > 0:
-            counts, total, used, plan = stack.pop()
-            self.nodes -= 1
-            if not total:
-                if used < self.used:
-                    self.best, self.used = _unlink(plan), used
+    def run(self, counts: dict[int, int]) -> None:
+        left = np.zeros(self.capacity + 1, np.int64)
+        left[list(counts)] = list(counts.values())
+        total, used, plan = sum(k * n for k, n in counts.items()), 0, []
+        open_choices = [self._choices(left)]
+        while open_choices and self.used > self.bound and self.nodes > 0:
+            step = next(open_choices[-1], None)
+            if step is None:
+                open_choices.pop()
+                if plan:
+                    items, times = plan.pop()
+                    np.add.at(left, list(items), times)
+                    total, used = total + sum(items) * times, used - times
                 continue
-            if used + -(-total // self.capacity) >= self.used:  # waste so far leaves nothing to gain
-                continue
-            sizes = sorted(counts)
-            top = int(sizes[-1])
-            counts = dict(counts)
-            _take(counts, (top,), 1)
-            choices = fillings(counts, np.array(sorted(counts), np.int64), self.capacity - top)
-            following = []
-            for filling in choices:
-                items = (top, *filling)
-                need = Counter(items)
-                whole = min((counts.get(k, 0) + (k == top)) // n for k, n in need.items())
-                for times in dict.fromkeys((whole, 1)):
-                    rest = dict(counts)
-                    rest[top] = rest.get(top, 0) + 1
-                    _take(rest, items, times)
-                    following.append((rest, total - sum(items) * times, used + times, (plan, (items, times))))
-            stack += reversed(following)
-
-
-def _take(counts: dict[int, int], items: tuple[int, ...], times: int) -> None:
-    for k in items:
-        counts[k] -= times
-        if not counts[k]:
-            del counts[k]
-
-
-def _unlink(plan: tuple) -> list[Pattern]:
-    out = []
-    while plan:
-        plan, pattern = plan
-        out.append(pattern)
-    return out[::-1]
+            items, times = step
+            self.nodes -= 1
+            np.subtract.at(left, list(items), times)
+            total, used = total - sum(items) * times, used + times
+            plan.append(step)
+            if not total and used < self.used:
+                self.best, self.used = list(plan), used
+            gain = total and used + -(-total // self.capacity) < self.used  # else waste so far leaves nothing to gain
+            open_choices.append(self._choices(left) if gain else iter(()))
+
+    def _choices(self, left: np.ndarray) -> Iterator[Pattern]:
+        """Ways to close a sequence around the longest open piece: as often as they go, then once."""
+        top = int(np.flatnonzero(left)[-1])
+        left[top] -= 1
+        counts = {int(k): int(left[k]) for k in np.flatnonzero(left)}
+        left[top] += 1
+        for filling in fillings(counts, np.array(sorted(counts), np.int64), self.capacity - top):
+            items = (top, *filling)
+            whole = min(int(left[k]) // n for k, n in Counter(items).items())
+            for times in dict.fromkeys((whole, 1)):
+                yield items, times
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
@@ -200,7 +193,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NOD
         return []
     start = best_fit(counts, capacity)
     search = Search(capacity, lower_bound(counts, capacity), start, sum(n for _, n in start), nodes)
-    search.run(counts, sum(k * n for k, n in counts.items()), 0)
+    search.run(counts)
     return search.best
 
 
