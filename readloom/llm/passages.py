@@ -102,7 +102,7 @@ def chains(x: np.ndarray, y: np.ndarray, size: int = SEED, cost: float = GAP_COS
     tree, waiting = Fenwick(len(ranks)), sorted(range(n), key=lambda i: pieces[i][0] + pieces[i][2])
     done = 0
     for i, (px, py, length) in enumerate(pieces):
-        while done < n and pieces[waiting[done]][0] + pieces[waiting[done]][2] <= px + size:  # ends may overlap by less than a seed
+        while done < n and pieces[waiting[done]][0] + pieces[waiting[done]][2] < px + size:  # ends may overlap by less than a seed
             j = waiting[done]
             if j < i:
                 jx, jy, jl = pieces[j]
@@ -110,7 +110,7 @@ def chains(x: np.ndarray, y: np.ndarray, size: int = SEED, cost: float = GAP_COS
                 done += 1
             else:
                 break
-        best, j = tree.best(int(np.searchsorted(ranks, py + size, "right")))
+        best, j = tree.best(int(np.searchsorted(ranks, py + size, "left")))
         gain = best - cost * (px + py)
         score[i] = length
         if j >= 0 and gain > 0:
