@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from .. import schema as S
 from ..functions import cigar, flags, positions, seq, tags
 from ..operators import depth, flagstat, ordering, records, regions
 from ..sources import bam, store, text
+from ..sources.shared import new_folder
 from .synth import from_lineitem, from_orders, ref_seqs
 
 Spark = SparkSession
@@ -263,8 +262,8 @@ HEADER = "@HD\tVN:1.6\n@PG\tID:x\n"
 
 
 def _bam_file(spark: Spark, d: str) -> str:
-    """A written file, in a folder of the driver (small inputs: this serves round-trip queries)."""
-    path = tempfile.mkdtemp(prefix="readloom-bam-") + "/x.bam"
+    """A written file, in a shared folder."""
+    path = new_folder(spark, "bam") + "/x.bam"
     refs = [(r["name"], r["length"]) for r in ref_seqs(spark, d).orderBy("ref_id").collect()]
     bam.write_bam(_bam_rows(spark, d), path, HEADER, refs)
     return path
@@ -286,7 +285,7 @@ def header_text(spark: Spark, d: str) -> DataFrame:
 
 def codec_benchmark(spark: Spark, d: str) -> DataFrame:
     rows = from_orders(spark, d).select("ref_id", "pos", "flag", "read_name")
-    return store.codec_sizes(rows, rows.columns, ["zstd", "gzip", "lz4"], tempfile.mkdtemp(prefix="readloom-codecs-"))
+    return store.codec_sizes(rows, rows.columns, ["zstd", "gzip", "lz4"], new_folder(spark, "codecs"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -16,13 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
 from . import bgzf
+from .shared import resolve
 
 MAGIC = b"BAM\x01"
 CHECKED = 8  # records that must be well-formed for a place to count as a record's beginning
@@ -32,11 +32,6 @@ SOURCE_SCHEMA = "path string, split int, place long, " + S.ALIGNMENTS.removepref
 SCALARS = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
-def resolve(uri: str) -> tuple[fs.FileSystem, str]:
-    uri = re.sub(r"^file:/+", "file:///", uri)
-    return fs.FileSystem.from_uri(uri) if re.match(r"^\w[\w+.-]*://", uri) else (fs.LocalFileSystem(), uri)
-
-
 # --- records -----------------------------------------------------------------
 
 

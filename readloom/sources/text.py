@@ -7,6 +7,8 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import resolve
+
 REGION = r"^([^:]+):(\d+)-(\d+)$"
 
 
@@ -57,7 +59,8 @@ def read_marks(spark: SparkSession, path: str) -> DataFrame:
 
 def write_permutation(index: DataFrame, path: str) -> None:
     """Ordinals by rank, as a file of little-endian unsigned 32-bit integers (the exchange format; Parquet is the usual store)."""
-    with open(path, "wb") as out:
+    system, target = resolve(path)
+    with system.open_output_stream(target) as out:
         for row in index.orderBy("rank").toLocalIterator():
             out.write(struct.pack("<I", row["ordinal"]))
 
