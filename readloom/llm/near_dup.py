@@ -8,7 +8,7 @@
    documents share, a large group of near copies) give no pairs among their
    members. They matter only for classes that have little else: two linked
    classes differ in at most 1 - threshold of their union, so unless most of a
-   sketch lies in long lists, some short list holds both (see ``ENOUGH``).
+   sketch lies in long lists, short lists hold both (see ``most_unshared``).
    Classes that lie in long lists mostly are held against one pivot per list,
    the member with the fewest other values. What remains apart from its pivot's
    component is held against the list's other members, sketch against sketch,
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytescan import mix, row_groups, shingles, text_buffer, words
@@ -36,8 +36,9 @@ from .scratch import Scratch
 K = 64
 LIST = 32  # classes in a list that gives all its pairs
 SHORT = 16  # of a class's short lists, those with the least values are used
-LONG = 8  # and of its long ones
-ENOUGH = 0.4  # share of a sketch outside long lists at which short lists are enough
+OVERLAPS = 2  # of them that a pair must have in common; linked classes that differ have most of them, and at least four values, in common
+LONG = 6  # and of its long ones
+ENOUGH = 0.4  # share of a whole set (one smaller than a sketch) outside long lists at which short lists are enough
 MARGIN = 5.3
 BLOCK = 256
 
@@ -113,8 +114,14 @@ def _linked(percent: int):
     return run
 
 
-def _blocks(k: int, share: float):
-    """Blocks of list members against blocks of the same list's leftovers: pairs of different components whose sketches share enough values."""
+def _blocks(k: int, share: float, apart: float):
+    """Blocks of list members against blocks of the same list's leftovers: pairs of different components that may be linked.
+
+    Both sketches are complete up to the lesser of their greatest values (a
+    sketch of under ``k`` values is a whole set), so the values up to there
+    estimate the similarity. Two linked classes can't both have many values
+    outside long lists: at most ``apart`` together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,27 +129,54 @@ def _blocks(k: int, share: float):
                 rest, members = batch.column("rest")[r].as_py(), batch.column("members")[r].as_py()
                 flat = np.concatenate([np.array(m["sketch"], np.int64) for m in members])
                 sizes = np.array([len(m["sketch"]) for m in members])
-                owner = np.repeat(np.arange(len(members)), sizes)
-                component = np.array([m["component"] for m in members])
+                starts = np.cumsum(sizes) - sizes
+                component, other, node = (np.array([m[c] for m in members], np.int64) for c in ("component", "other", "node"))
+                last = np.where(sizes < k, np.iinfo(np.int64).max, flat[starts + sizes - 1])
                 a, b = [], []
                 for x in rest:
-                    common = np.bincount(owner[np.isin(flat, np.array(x["sketch"], np.int64))], minlength=len(members))
-                    near = (common >= share * np.minimum(len(x["sketch"]), sizes)) & (component != x["component"])
+                    if not ((other + x["other"] <= apart) & (component != x["component"])).any():
+                        continue
+                    own = np.array(x["sketch"], np.int64)
+                    upto = np.minimum(last, own[-1] if len(own) >= k else np.iinfo(np.int64).max)
+                    below = flat <= np.repeat(upto, sizes)
+                    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    common = np.add.reduceat((own[place] == flat) & below, starts)
+                    union = np.searchsorted(own, upto, "right") + np.add.reduceat(below, starts) - common
+                    near = (common >= share * union) & (component != x["component"]) & (other + x["other"] <= apart)
                     for i in np.flatnonzero(near).tolist():
-                        a.append(min(x["node"], members[i]["node"]))
-                        b.append(max(x["node"], members[i]["node"]))
+                        a.append(min(x["node"], int(node[i])))
+                        b.append(max(x["node"], int(node[i])))
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def estimate(one: Column, two: Column, k: int) -> Column:
-    """Similarity estimated from the k least values of the union of two sketches."""
-    union = F.slice(F.array_sort(F.array_union(one, two)), 1, k)
-    common = F.array_intersect(one, two)
-    last = F.element_at(union, -1)
-    return F.size(F.filter(common, lambda x: x <= last)) / F.size(union)
+def estimate(one: np.ndarray, two: np.ndarray, k: int) -> float:
+    """Similarity of two sets from their sketches: both are complete up to the lesser of the greatest values kept (all of a set of under ``k`` values), and so is their union."""
+    upto = min(x[-1] if len(x) >= k else np.iinfo(np.int64).max for x in (one, two))
+    both = np.sort(np.concatenate([one, two]))
+    both = both[: np.searchsorted(both, upto, "right")]
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
+def _near(k: int, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            (s, at), (t, bt) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (batch.column("s"), batch.column("t")))
+            for i in range(batch.num_rows):
+                keep[i] = estimate(s[at[i] : at[i + 1]], t[bt[i] : bt[i + 1]], k) >= share
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def most_unshared(percent: int, n: float) -> float:
+    """Of ``n`` values of a linked pair's union, those that only one side has, at most (``MARGIN`` standard deviations)."""
+    t = percent / 100
+    return (1 - t) * n + MARGIN * math.sqrt(n * t * (1 - t))
 
 
 def floor_of_estimate(percent: int, k: int) -> float:
@@ -173,37 +207,43 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
 
     lists = nodes.select("node", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     shared = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
+    shared = scratch.table(shared, "shared")  # a table: Spark splits hot keys of joins between plain shuffles only
     lists = scratch.table(lists.join(shared, "value"), "lists")
     rank = Window.partitionBy("node").orderBy("value")
     short = lists.where(F.col("members") <= LIST).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SHORT).select("value", "node")
     pairs = short.alias("x").join(short.alias("y"), "value").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= OVERLAPS).select("a", "b")
 
     hot = lists.where(F.col("members") > LIST)
     mostly = hot.groupBy("node").agg((F.first("kept") - F.count("*")).alias("other"), F.first("kept").alias("kept"))
-    mostly = mostly.where(F.col("other") <= ENOUGH * F.col("kept")).select("node", "other")
+    few = F.when(F.col("kept") < k, ENOUGH * F.col("kept")).otherwise(most_unshared(percent, k))
+    mostly = mostly.where(F.col("other") <= few).select("node", "other")
     long_ = hot.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LONG).select("value", "node").join(mostly, "node")
     long_ = scratch.table(long_, "long")
     pivot = long_.groupBy("value").agg(F.min(F.struct("other", "node")).alias("p")).select("value", F.col("p.node").alias("pivot"))
+    pivot = scratch.table(pivot, "pivot")
     stars = long_.join(pivot, "value").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     check = _Check(plain, classes, nodes, scratch, width, percent, k)
-    links = check.linked(pairs.unionByName(stars).distinct(), "1")
+    links = check.linked(check.near(pairs.unionByName(stars).distinct(), "1"), "1")
     labels = connected_components(links, scratch, "components")
 
     named = long_.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     center = named.join(pivot, [named.value == pivot.value, named.node == pivot.pivot]).select(named.value, F.col("component").alias("center"))
-    rest = scratch.table(named.join(center, "value").where("component <> center").select("value", "node", "component"), "rest")
+    rest = scratch.table(named.join(center, "value").where("component <> center").select("value", "node", "component", "other"), "rest")
     if not rest.isEmpty():
         apart = rest.select("value").distinct()
-        members = named.join(apart, "value", "left_semi").select("value", "node", "component")
+        members = named.join(apart, "value", "left_semi").select("value", "node", "component", "other")
+        most = most_unshared(percent, 1.1 * k) + OVERLAPS
         size = long_.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
 
         def blocks(rows: DataFrame, name: str) -> DataFrame:
             block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-            cell = F.collect_list(F.struct("node", "component", "sketch")).alias(name)
-            return rows.join(nodes, "node").join(size, "value").groupBy("value", block.alias(f"{name}_block")).agg(cell)
+            cell = F.collect_list(F.struct("node", "component", "other", "sketch")).alias(name)
+            cells = rows.join(nodes, "node").join(size, "value").groupBy("value", block.alias(f"{name}_block"), F.floor(F.col("other") / 4).alias(f"{name}_band"))
+            return cells.agg(cell, F.min("other").alias(f"{name}_least"))
 
-        met = blocks(rest, "rest").join(blocks(members, "members"), "value").select("rest", "members")
-        more = met.mapInArrow(_blocks(k, floor_of_estimate(percent, k)), "a long, b long").distinct()
+        met = blocks(rest, "rest").join(blocks(members, "members"), "value").where(F.col("rest_least") + F.col("members_least") <= most).select("rest", "members")
+        more = met.mapInArrow(_blocks(k, floor_of_estimate(percent, k), most), "a long, b long").distinct()
         links = links.unionByName(check.linked(more, "2"))
         labels = connected_components(links, scratch, "all-components")
 
@@ -237,6 +277,10 @@ def without_near_duplicates(documents: DataFrame, width: int = 5, percent: int =
     return tagged.where("not _hit").select(*names).unionByName(met.where("_stays is null").select(*names)).unionByName(once)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
 class _Check:
     """Estimates and then decides pairs of classes."""
 
@@ -244,14 +288,20 @@ class _Check:
         self.plain, self.classes, self.nodes, self.scratch = plain, classes, nodes, scratch
         self.width, self.percent, self.k = width, percent, k
 
-    def linked(self, pairs: DataFrame, tag: str) -> DataFrame:
+    def near(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """Pairs whose sketches may belong to linked classes."""
         pairs = self.scratch.table(pairs, f"pairs-{tag}")
-        ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-        held = self.nodes.join(ends(pairs), "node", "left_semi")
+        held = self.nodes.join(_ends(pairs), "node", "left_semi")
         near = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(held.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
-        near = near.where(estimate(F.col("s"), F.col("t"), self.k) >= floor_of_estimate(self.percent, self.k)).select("a", "b")
+        near = near.select("a", "b", "s", "t").mapInArrow(_near(self.k, floor_of_estimate(self.percent, self.k)), "a long, b long")
+        near = self.scratch.table(near, f"estimated-{tag}")
+        self.scratch.drop(f"pairs-{tag}")
+        return near
+
+    def linked(self, near: DataFrame, tag: str) -> DataFrame:
+        """Pairs that are linked, by their full sets."""
         near = self.scratch.table(near, f"near-{tag}")
-        wanted = self.classes.join(ends(near), "node", "left_semi")
+        wanted = self.classes.join(_ends(near), "node", "left_semi")
         texts = self.plain.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
         texts = marked(texts, F.xxhash64("doc_id"), wanted, F.xxhash64("doc_id"), "hit").where("hit").drop("hit")
         texts = texts.join(wanted, "doc_id").select("node", "f1", "f2", "text")
@@ -259,7 +309,7 @@ class _Check:
         sets = self.scratch.table(sets, f"sets-{tag}")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         found = self.scratch.table(both.mapInArrow(_linked(self.percent), "a long, b long"), f"links-{tag}")
-        self.scratch.drop(f"pairs-{tag}", f"near-{tag}", f"sets-{tag}")
+        self.scratch.drop(f"near-{tag}", f"sets-{tag}")
         return found
 
 
