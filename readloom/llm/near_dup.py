@@ -12,7 +12,8 @@
    Classes that lie in long lists mostly are held against one pivot per list,
    the member with the fewest other values. What remains apart from its pivot's
    component is held against the list's other members, sketch against sketch,
-   in blocks joined to blocks; only pairs that may be linked come out.
+   in blocks joined to blocks, and there decided; only links come out, one for
+   each class and component.
 3. The sketch of a pair's union estimates its similarity. Pairs far below the
    threshold go (``MARGIN`` standard deviations, at least).
 4. The rest is decided on full sets, in whole numbers.
@@ -40,7 +41,7 @@ OVERLAPS = 2  # of them that a pair must have in common; linked classes that dif
 LONG = 6  # and of its long ones
 ENOUGH = 0.4  # share of a whole set (one smaller than a sketch) outside long lists at which short lists are enough
 MARGIN = 5.3
-BLOCK = 256
+BLOCK = 128  # classes of a list that are held against others at once
 
 
 def shingle_sets(rows: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
@@ -98,15 +99,21 @@ def _sets(width: int):
     return run
 
 
+def alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked."""
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    both = np.sort(np.concatenate([one, two]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for x, y, p, q in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("set_a"), batch.column("set_b")):
-                one, two = np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64)
-                both = np.sort(np.concatenate([one, two]))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
+                if alike(np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64), percent):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -114,13 +121,14 @@ def _linked(percent: int):
     return run
 
 
-def _blocks(k: int, share: float, apart: float):
-    """Blocks of list members against blocks of the same list's leftovers: pairs of different components that may be linked.
+def _blocks(k: int, share: float, apart: float, percent: int):
+    """Blocks of list members against blocks of the same list's leftovers: links between different components, one for each leftover and component.
 
     Both sketches are complete up to the lesser of their greatest values (a
     sketch of under ``k`` values is a whole set), so the values up to there
     estimate the similarity. Two linked classes can't both have many values
-    outside long lists: at most ``apart`` together.
+    outside long lists: at most ``apart`` together. What passes is decided on
+    the full sets, the likeliest partner of a component first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +150,13 @@ def _blocks(k: int, share: float, apart: float):
                     place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                     common = np.add.reduceat((own[place] == flat) & below, starts)
                     union = np.searchsorted(own, upto, "right") + np.add.reduceat(below, starts) - common
-                    near = (common >= share * union) & (component != x["component"]) & (other + x["other"] <= apart)
-                    for i in np.flatnonzero(near).tolist():
-                        a.append(min(x["node"], int(node[i])))
-                        b.append(max(x["node"], int(node[i])))
+                    near = np.flatnonzero((common >= share * union) & (component != x["component"]) & (other + x["other"] <= apart))
+                    whole, reached = np.frombuffer(x["set"], np.int64), set()
+                    for i in near[np.argsort(-(common / union)[near], kind="stable")].tolist():
+                        if int(component[i]) not in reached and alike(whole, np.frombuffer(members[i]["set"], np.int64), percent):
+                            reached.add(int(component[i]))
+                            a.append(min(x["node"], int(node[i])))
+                            b.append(max(x["node"], int(node[i])))
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -234,17 +245,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
         apart = rest.select("value").distinct()
         members = named.join(apart, "value", "left_semi").select("value", "node", "component", "other")
         most = most_unshared(percent, 1.1 * k) + OVERLAPS
+        sets = check.sets(members.select("node").distinct(), "members")
         size = long_.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
 
         def blocks(rows: DataFrame, name: str) -> DataFrame:
             block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-            cell = F.collect_list(F.struct("node", "component", "other", "sketch")).alias(name)
-            cells = rows.join(nodes, "node").join(size, "value").groupBy("value", block.alias(f"{name}_block"), F.floor(F.col("other") / 4).alias(f"{name}_band"))
+            cell = F.collect_list(F.struct("node", "component", "other", "sketch", "set")).alias(name)
+            cells = rows.join(nodes, "node").join(sets, "node").join(size, "value").groupBy("value", block.alias(f"{name}_block"), F.floor(F.col("other") / 4).alias(f"{name}_band"))
             return cells.agg(cell, F.min("other").alias(f"{name}_least"))
 
         met = blocks(rest, "rest").join(blocks(members, "members"), "value").where(F.col("rest_least") + F.col("members_least") <= most).select("rest", "members")
-        more = met.mapInArrow(_blocks(k, floor_of_estimate(percent, k), most), "a long, b long").distinct()
-        links = links.unionByName(check.linked(more, "2"))
+        more = met.mapInArrow(_blocks(k, floor_of_estimate(percent, k), most, percent), "a long, b long")
+        links = links.unionByName(scratch.table(more, "links-2"))
         labels = connected_components(links, scratch, "all-components")
 
     of_doc = classes.select("node", "doc_id")
@@ -260,7 +272,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
         (F.col("first_row").isNull() | (F.col("first_row") == F.col("row"))).alias("first"),
     )
     out = scratch.table(out, "out")
-    scratch.drop("sketches", "classes", "nodes", "lists", "long", "rest")
+    scratch.drop("sketches", "classes", "nodes", "lists", "shared", "pivot", "long", "rest", "sets-members")
     return out
 
 
@@ -300,18 +312,20 @@ class _Check:
 
     def linked(self, near: DataFrame, tag: str) -> DataFrame:
         """Pairs that are linked, by their full sets."""
-        near = self.scratch.table(near, f"near-{tag}")
-        wanted = self.classes.join(_ends(near), "node", "left_semi")
-        texts = self.plain.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
-        texts = marked(texts, F.xxhash64("doc_id"), wanted, F.xxhash64("doc_id"), "hit").where("hit").drop("hit")
-        texts = texts.join(wanted, "doc_id").select("node", "f1", "f2", "text")
-        sets = texts.mapInArrow(_sets(self.width), "node long, set binary").dropDuplicates(["node"])
-        sets = self.scratch.table(sets, f"sets-{tag}")
+        sets = self.sets(_ends(near), tag)
         both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         found = self.scratch.table(both.mapInArrow(_linked(self.percent), "a long, b long"), f"links-{tag}")
-        self.scratch.drop(f"near-{tag}", f"sets-{tag}")
+        self.scratch.drop(f"estimated-{tag}", f"sets-{tag}")
         return found
 
+    def sets(self, wanted: DataFrame, tag: str) -> DataFrame:
+        """node, set of the wanted classes."""
+        wanted = self.classes.join(wanted, "node", "left_semi")
+        texts = self.plain.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
+        texts = marked(texts, F.xxhash64("doc_id"), wanted, F.xxhash64("doc_id"), "hit").where("hit").drop("hit")
+        texts = texts.join(wanted, "doc_id").select("node", "f1", "f2", "text")
+        return self.scratch.table(texts.mapInArrow(_sets(self.width), "node long, set binary").dropDuplicates(["node"]), f"sets-{tag}")
+
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, percent=85)
