@@ -276,14 +276,16 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     plain = _keyed(documents)
     seeds = scratch.table(plain.mapInArrow(_seeds, "value long, doc_id long, h long, pos int"), "seeds")
     several = seeds.groupBy("value").agg(F.min(_key()).alias("one"), F.max(_key()).alias("two")).where("one <> two").select("value")
+    several = scratch.table(several, "several")  # a table: Spark splits hot keys of joins between plain shuffles only
     shared = scratch.table(seeds.join(several, "value", "left_semi"), "shared")
     scratch.drop("seeds")
     first = shared.groupBy("value").agg(F.min(F.struct("doc_id", "h", "pos")).alias("t"))
     first = first.select("value", F.col("t.doc_id").alias("t_doc"), F.col("t.h").alias("t_h"), F.col("t.pos").alias("y"))
+    first = scratch.table(first, "first")
     matches = shared.join(first, "value").where("doc_id <> t_doc or h <> t_h")
     per_doc = matches.groupBy("doc_id", "h").agg(F.collect_list(F.struct("t_doc", "t_h", F.col("pos").alias("x"), "y")).alias("matches"))
     found = scratch.table(per_doc.mapInArrow(_chain, CHAINS), "chains")
-    scratch.drop("shared")
+    scratch.drop("shared", "several", "first")
 
     sizes = found.groupBy("t_doc", "t_h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id", "h", "chain"), F.col("blocks"))
