@@ -1,7 +1,7 @@
 """Operator 9: mixing sources to target weights (DataFrame functions only).
 
 1. A naive Bayes classifier learns domains from a labelled table: word counts
-   by domain of at most ``SAMPLE`` labelled documents each, over the
+   by domain of about ``SAMPLE`` labelled documents each, at most,, over the
    ``VOCABULARY`` most frequent words of that sample. The model is a table of
    that many rows at most, so it is broadcast.
 2. Every document gets a soft membership: the posterior of each domain, from
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -34,20 +34,22 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), BLANKS), lambda w: w != "")
 
 
-def fit_domains(labelled: DataFrame, scratch: Scratch) -> tuple[list[str], list[float], DataFrame]:
-    """Domains in order, log priors and the model (word, l0, l1, ...) of ``labelled`` (doc_id, text, domain). Runs at once.
+def fit_domains(documents: DataFrame, labelled: DataFrame, scratch: Scratch) -> tuple[list[str], list[float], DataFrame]:
+    """Domains in order, log priors and the model (word, l0, l1, ...) of ``labelled`` (doc_id, domain) and the texts of ``documents``. Runs at once.
 
-    Rows without text or domain teach nothing; priors count all other rows. At
-    most ``DOMAINS`` domains, the most frequent, are told apart.
+    Rows without id, text or domain teach nothing; priors count all labels. At
+    most ``DOMAINS`` domains, the most frequent, are told apart. The sample is
+    taken from ids by a hash, about ``SAMPLE`` a domain, so it is broadcast and
+    no text is shuffled.
     """
-    usable = labelled.where("text is not null and domain is not null")
+    usable = labelled.where("doc_id is not null and domain is not null").select("doc_id", "domain").distinct()
     sizes = usable.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()
     domains = sorted(x["domain"] for x in sizes)
     total = sum(x["count"] for x in sizes) or 1
     priors = {x["domain"]: x["count"] / total for x in sizes}
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("domain", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE).select("domain", "doc_id").distinct()
-    rows = usable.join(F.broadcast(chosen), ["domain", "doc_id"]).select("domain", F.explode(_words(F.col("text"))).alias("word"))
+    share = F.coalesce(*[F.when(F.col("domain") == x["domain"], F.lit(SAMPLE / x["count"])) for x in sizes], F.lit(0.0))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40))
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("word"))
     counts = [F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"c{k}") for k, d in enumerate(domains)]
     model = rows.groupBy("word").agg(F.count("*").alias("n"), *counts).orderBy(F.desc("n"), "word").limit(VOCABULARY)
     model = scratch.table(model, "counts")
@@ -110,14 +112,14 @@ def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, floa
 def mix(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float], total: float | None = None, seed: int = 0) -> DataFrame:
     """Per row: doc_id, h, tokens, domain (of the greatest posterior), posterior, rate, copies.
 
-    ``labelled`` has doc_id, text, domain. Copies are the whole part of the
+    ``labelled`` has doc_id, domain. Copies are the whole part of the
     rate, and one more for a share of documents as large as the rest, decided by
     a hash of id and text. Null and empty texts have no tokens and the prior's
     posteriors. Without any usable label all rates are 1. Repeated rows have
     equal rates; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession, "mixing")
-    domains, priors, model = fit_domains(labelled, scratch)
+    domains, priors, model = fit_domains(documents, labelled, scratch)
     members = scratch.table(memberships(documents, domains, priors, model), "members")
     rate, _ = fit_rates(members, domains, targets, total)
     draw = F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -136,9 +138,9 @@ def resample(documents: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled table of the queries: documents that ``labels`` lists, with their language as domain."""
+    """The labelled table of the queries: doc_id and domain of documents that ``labels`` lists, with their language as domain."""
     listed = labels.select("doc_id").where("doc_id is not null").distinct()
-    return documents.select("doc_id", "text", F.col("lang").alias("domain")).join(listed, "doc_id", "left_semi")
+    return documents.select("doc_id", F.col("lang").alias("domain")).join(listed, "doc_id", "left_semi")
 
 
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
