@@ -9,9 +9,11 @@
    cost for gaps; a Fenwick tree holds the best chain up to each place, so a
    group of n matches takes n log n steps.
 4. Chains are aligned word by word: gaps are filled by an alignment of their
-   words, ends are extended while they agree. What agrees well enough counts
-   as covered, and covered stretches of at least ``MIN_WORDS`` words are
-   repeated passages. The earliest document keeps its passage.
+   words, and a chain that agrees too little is split at its worst gaps. Ends
+   are extended, with insertions and deletions, while they agree. What agrees
+   well enough counts as covered, and covered stretches of at least
+   ``MIN_WORDS`` words are repeated passages. The earliest document keeps its
+   passage.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from .bytescan import row_groups, shingles, text_buffer, word_spans, words
 from .narrow import marked
 from .scratch import Scratch
 
-SEED, WINDOW, MIN_WORDS = 8, 20, 50
+SEED, WINDOW, MIN_WORDS = 6, 6, 50
 GAP_COST = 0.1  # per word, on either side; a match is worth its words
 MIN_CHAIN = 16  # words of a chain that may be part of a passage
 AGREE = 0.8  # share of a chain's words that must agree
-REACH = 48  # words of the earlier document kept beyond a chain's ends
+DROP = 12  # an extension ends once its score is that far below its best
+REACH = 64  # words of the earlier document kept beyond a chain's ends
 BLOCK = 256  # chains cut out of one copy of a document's text
 
 
@@ -43,18 +46,32 @@ def minimizers(values: np.ndarray, window: int) -> np.ndarray:
     return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
+def _runs(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text with seeds: row, hashes of its words, hashes of its runs and the places of its seeds."""
+    hashes, _, _, first = words(*text_buffer(rows.column("text")))
+    runs = shingles(hashes, SEED) if len(hashes) >= SEED else hashes[:0]
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        if b - a >= SEED:
+            yield i, hashes[a:b], runs[a : b - SEED + 1], minimizers(runs[a : b - SEED + 1], WINDOW)
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds of each text, once a text."""
+    for batch in batches:
+        for rows in row_groups(batch, "text"):
+            value = [np.unique(runs[at]) for _, _, runs, at in _runs(rows)]
+            if value:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value).view(np.int64))], names=["value"])
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in row_groups(batch, "text"):
-            hashes, _, _, first = words(*text_buffer(rows.column("text")))
-            runs = shingles(hashes, SEED) if len(hashes) >= SEED else hashes[:0]
             value, row, pos = [], [], []
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                if b - a >= SEED:
-                    at = minimizers(runs[a : b - SEED + 1], WINDOW)
-                    value.append(runs[a + at])
-                    row.append(np.full(len(at), i))
-                    pos.append(at)
+            for i, _, runs, at in _runs(rows):
+                value.append(runs[at])
+                row.append(np.full(len(at), i))
+                pos.append(at)
             if value:
                 take = pa.array(np.concatenate(row))
                 columns = [pa.array(np.concatenate(value).view(np.int64)), rows.column("doc_id").take(take), rows.column("h").take(take), pa.array(np.concatenate(pos).astype(np.int32))]
@@ -127,7 +144,7 @@ def chains(x: np.ndarray, y: np.ndarray, size: int = SEED, cost: float = GAP_COS
     return found
 
 
-CHAINS = "doc_id long, h long, chain int, t_doc long, t_h long, low int, high int, x array<int>, y array<int>, size array<int>"
+CHAINS = "doc_id long, h long, part_no int, t_doc long, t_h long, low int, high int, x array<array<int>>, y array<array<int>>, size array<array<int>>"
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,23 +154,32 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = matches.values
             t_doc, t_h = got.field("t_doc").to_numpy(zero_copy_only=False), got.field("t_h").to_numpy(zero_copy_only=False)
             x, y = got.field("x").to_numpy().astype(np.int64), got.field("y").to_numpy().astype(np.int64)
-            order = np.lexsort((t_h, t_doc))
+            order = np.lexsort((y, x, t_h, t_doc))
             t_doc, t_h, x, y = t_doc[order], t_h[order], x[order], y[order]
+            new = np.concatenate([[True], (t_doc[1:] != t_doc[:-1]) | (t_h[1:] != t_h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            t_doc, t_h, x, y = t_doc[new], t_h[new], x[new], y[new]
             cut = np.flatnonzero(np.concatenate([[True], (t_doc[1:] != t_doc[:-1]) | (t_h[1:] != t_h[:-1])]))
             number = 0
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(x)]):
-                for chain in chains(x[a:b], y[a:b]):
-                    ys, ye = chain[0][1], chain[-1][1] + chain[-1][2]
-                    out.append((doc_id, h, number, int(t_doc[a]), int(t_h[a]), max(0, ys - REACH), ye + REACH, *map(list, zip(*chain))))
+                held: list[list] = []  # low, high, chains: those whose words of the earlier document overlap share them
+                for chain in sorted(chains(x[a:b], y[a:b]), key=lambda c: c[0][1]):
+                    low, high = max(0, chain[0][1] - REACH), chain[-1][1] + chain[-1][2] + REACH
+                    if held and low < held[-1][1]:
+                        held[-1][1] = max(held[-1][1], high)
+                        held[-1][2].append(chain)
+                    else:
+                        held.append([low, high, [chain]])
+                for low, high, group in held:
+                    out.append((doc_id, h, number, int(t_doc[a]), int(t_h[a]), low, high, *([[piece[k] for piece in chain] for chain in group] for k in range(3))))
                     number += 1
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.list_(pa.int32())] * 3
-            names = ["doc_id", "h", "chain", "t_doc", "t_h", "low", "high", "x", "y", "size"]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.list_(pa.list_(pa.int32()))] * 3
+            names = ["doc_id", "h", "part_no", "t_doc", "t_h", "low", "high", "x", "y", "size"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each chain, the words of the earlier document that it may cover."""
+    """The words of the earlier document that chains may cover."""
     for batch in batches:
         for text, wanted in zip(batch.column("text"), batch.column("wanted").to_pylist()):
             raw = np.frombuffer(text.as_py().encode(), np.uint8)
@@ -163,9 +189,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in wanted:
                 high = min(w["high"], len(starts))
                 part = data[starts[w["low"]] : ends[high - 1]].decode() if high > w["low"] else ""
-                rows.append((w["doc_id"], w["h"], w["chain"], part))
+                rows.append((w["doc_id"], w["h"], w["part_no"], part))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "h", "chain", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "h", "part_no", "part"])
 
 
 def agreeing(one: np.ndarray, two: np.ndarray) -> int:
@@ -180,33 +206,69 @@ def agreeing(one: np.ndarray, two: np.ndarray) -> int:
     return int(row[-1])
 
 
+def extensions(one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
+    """How far two runs agree from their beginning: (words of ``one``, those that agree), once by a lenient score and once by one that holds ``AGREE``.
+
+    Furthest places by number of edits and diagonal: an edit costs 3 less the
+    half words it takes, and a diagonal ends when it is ``DROP`` below the best.
+    """
+    a, b = one.tolist(), two.tolist()
+    n, m = len(a), len(b)
+    weight = AGREE / (1 - AGREE)
+    front, edits = {0: (0, 0)}, 0  # diagonal -> words of one, those that don't agree
+    top, top_strict, lenient, strict = 0.0, 0.0, (0, 0), (0, 0)
+    while front:
+        now = {}
+        for d, (i, lost) in front.items():
+            while i < n and i + d < m and a[i] == b[i + d]:
+                i += 1
+            score = i + d / 2 - 3 * edits
+            if score < top - DROP:
+                continue
+            now[d] = (i, lost)
+            if score > top:
+                top, lenient = score, (i, i - lost)
+            held = i - lost - weight * lost
+            if held > top_strict:
+                top_strict, strict = held, (i, i - lost)
+        front, edits = {}, edits + 1
+        for d, (i, lost) in now.items():
+            for to, j, less in ((d, i + 1, lost + 1), (d - 1, i + 1, lost + 1), (d + 1, i, lost)):
+                if j <= n and 0 <= j + to <= m and (to not in front or (j, -less) > (front[to][0], -front[to][1])):
+                    front[to] = (j, less)
+    return [lenient, strict]
+
+
 def extend(one: np.ndarray, two: np.ndarray) -> int:
-    """How far two runs agree from their beginning: the prefix with the best score, matches 1, others -2, until it falls by 8."""
-    n = min(len(one), len(two))
-    if not n:
-        return 0
-    score = np.cumsum(np.where(one[:n] == two[:n], 1, -2))
-    top = np.maximum.accumulate(np.maximum(score, 0))
-    fallen = np.flatnonzero(score < top - 8)
-    score = score[: fallen[0]] if len(fallen) else score
-    return int(score.argmax()) + 1 if len(score) and score.max() > 0 else 0
+    """How far two runs agree from their beginning, with insertions and deletions."""
+    return extensions(one, two)[0][0]
 
 
-def align(own: np.ndarray, other: np.ndarray, low: int, xs: list[int], ys: list[int], sizes: list[int]) -> tuple[int, int] | None:
-    """The words of ``own`` that a chain covers once aligned with ``other`` (words from ``low`` on), or none if too few agree."""
+def align(own: np.ndarray, other: np.ndarray, low: int, xs: list[int], ys: list[int], sizes: list[int]) -> list[tuple[int, int]]:
+    """The words of ``own`` that a chain covers once aligned with ``other`` (words from ``low`` on); nothing where too few agree."""
     ys = [y - low for y in ys]
-    start, match = xs[0], sizes[0]
+    gaps, twice = [(0, 0)], [0]  # before each piece: words of a gap, those that agree; words it shares with the piece before
     for i in range(1, len(xs)):
         a, b = xs[i - 1] + sizes[i - 1], ys[i - 1] + sizes[i - 1]
-        if xs[i] > a and ys[i] > b:
-            match += agreeing(own[a : xs[i]], other[b : ys[i]])
-        match += sizes[i] - max(0, a - xs[i], b - ys[i])
-    end, y_end = xs[-1] + sizes[-1], ys[-1] + sizes[-1]
-    left = extend(own[:start][::-1], other[: ys[0]][::-1])
-    right = extend(own[end:], other[y_end:])
-    if match < AGREE * (end - start) or end - start + left + right < MIN_CHAIN:
-        return None
-    return start - left, end + right
+        short = 0 < xs[i] - a <= 2 * REACH and 0 < ys[i] - b <= 2 * REACH  # longer ones are left to extensions
+        gaps.append((max(0, xs[i] - a), agreeing(own[a : xs[i]], other[b : ys[i]]) if short else 0))
+        twice.append(max(0, a - xs[i], b - ys[i]))
+    found, todo = [], [(0, len(xs))]
+    while todo:
+        i, j = todo.pop()
+        start, end, y_end = xs[i], xs[j - 1] + sizes[j - 1], ys[j - 1] + sizes[j - 1]
+        match = sizes[i] + sum(sizes[k] - twice[k] + gaps[k][1] for k in range(i + 1, j))
+        if match < AGREE * (end - start):
+            cut = max(range(i + 1, j), key=lambda k: gaps[k][0] - gaps[k][1] + twice[k])
+            todo += [(i, cut), (cut, j)]
+            continue
+        left = extensions(own[max(0, start - 2 * REACH) : start][::-1], other[: ys[i]][::-1])
+        right = extensions(own[end : end + 2 * REACH], other[y_end:])
+        pick = 0 if match + left[0][1] + right[0][1] >= AGREE * (end - start + left[0][0] + right[0][0]) else 1
+        start, end = start - left[pick][0], end + right[pick][0]
+        if end - start >= MIN_CHAIN:
+            found.append((start, end))
+    return found
 
 
 def merge(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -234,8 +296,8 @@ def _align(least: int):
                 others, _, _, first = words(*text_buffer(parts))
                 spans = []
                 for i, c in enumerate(found):
-                    if (span := align(own, others[first[i] : first[i + 1]], c["low"], c["x"], c["y"], c["size"])) is not None:
-                        spans.append(span)
+                    for xs, ys, sizes in zip(c["x"], c["y"], c["size"]):
+                        spans += align(own, others[first[i] : first[i + 1]], c["low"], xs, ys, sizes)
                 spans = merge(spans, least)
                 if spans:
                     data, kept, at = raw.tobytes(), [], 0
@@ -274,28 +336,28 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     spark = documents.sparkSession
     scratch = Scratch(spark, "passages")
     plain = _keyed(documents)
-    seeds = scratch.table(plain.mapInArrow(_seeds, "value long, doc_id long, h long, pos int"), "seeds")
-    several = seeds.groupBy("value").agg(F.min(_key()).alias("one"), F.max(_key()).alias("two")).where("one <> two").select("value")
+    several = plain.mapInArrow(_values, "value long").groupBy("value").count().where("count > 1").select("value")
     several = scratch.table(several, "several")  # a table: Spark splits hot keys of joins between plain shuffles only
+    seeds = plain.mapInArrow(_seeds, "value long, doc_id long, h long, pos int")
+    seeds = marked(seeds, F.col("value"), several, F.col("value"), "hit").where("hit").drop("hit")
     shared = scratch.table(seeds.join(several, "value", "left_semi"), "shared")
-    scratch.drop("seeds")
-    first = shared.groupBy("value").agg(F.min(F.struct("doc_id", "h", "pos")).alias("t"))
-    first = first.select("value", F.col("t.doc_id").alias("t_doc"), F.col("t.h").alias("t_h"), F.col("t.pos").alias("y"))
-    first = scratch.table(first, "first")
-    matches = shared.join(first, "value").where("doc_id <> t_doc or h <> t_h")
+    least = F.min(F.struct("doc_id", "h", "pos")).alias("t")
+    place = [F.col("t.doc_id").alias("t_doc"), F.col("t.h").alias("t_h"), F.col("t.pos").alias("y")]
+    first = scratch.table(shared.groupBy("value").agg(least).select("value", *place), "first")
+    matches = shared.join(first, "value").where("doc_id <> t_doc or h <> t_h").select("doc_id", "h", "t_doc", "t_h", "pos", "y")
     per_doc = matches.groupBy("doc_id", "h").agg(F.collect_list(F.struct("t_doc", "t_h", F.col("pos").alias("x"), "y")).alias("matches"))
     found = scratch.table(per_doc.mapInArrow(_chain, CHAINS), "chains")
     scratch.drop("shared", "several", "first")
 
     sizes = found.groupBy("t_doc", "t_h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id", "h", "chain"), F.col("blocks"))
+    block = F.pmod(F.xxhash64("doc_id", "h", "part_no"), F.col("blocks"))
     wanted = found.join(sizes, ["t_doc", "t_h"]).groupBy("t_doc", "t_h", block.alias("block"))
-    wanted = wanted.agg(F.collect_list(F.struct("doc_id", "h", "chain", "low", "high")).alias("wanted"))
+    wanted = wanted.agg(F.collect_list(F.struct("doc_id", "h", "part_no", "low", "high")).alias("wanted"))
     ends = found.select("doc_id", "h").union(found.select("t_doc", "t_h")).distinct()
     texts = scratch.table(marked(plain, _key(), ends, _key(), "hit").where("hit").select("doc_id", "h", "text").join(ends, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]), "texts")
     parts = texts.select(F.col("doc_id").alias("t_doc"), F.col("h").alias("t_h"), "text").join(wanted, ["t_doc", "t_h"]).select("text", "wanted")
-    parts = parts.mapInArrow(_cut_out, "doc_id long, h long, chain int, part string")
-    whole = found.join(parts, ["doc_id", "h", "chain"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("low", "x", "y", "size", "part")).alias("chains"))
+    parts = parts.mapInArrow(_cut_out, "doc_id long, h long, part_no int, part string")
+    whole = found.join(parts, ["doc_id", "h", "part_no"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("low", "x", "y", "size", "part")).alias("chains"))
     out = scratch.table(texts.join(whole, ["doc_id", "h"]).mapInArrow(_align(min_words), SPANS), "spans")
     scratch.drop("chains", "texts")
     return out

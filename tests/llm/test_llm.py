@@ -321,6 +321,34 @@ def test_planted_passages(spark):
     assert passages.repeated_passages(docs.where("false")).count() == 0
 
 
+def fresh(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(n)]
+
+
+def spans_of(spark, texts):
+    return {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in passages.repeated_passages(documents(spark, [" ".join(t) for t in texts])).collect()}
+
+
+def test_fuzzy_passages_by_edit_rate(spark):
+    rng, texts, wanted = random.Random(21), [], {}
+    for rate in (0.0, 0.05, 0.08, 0.1):
+        for _ in range(25):
+            passage, copy = fresh(rng, 80), []
+            for w in passage:
+                kind = rng.choice(["other", "more", "none"]) if rng.random() < rate else "same"
+                copy += {"other": fresh(rng, 1), "more": [w, *fresh(rng, 1)], "none": [], "same": [w]}[kind]
+            texts += [fresh(rng, 60) + passage + fresh(rng, 60), fresh(rng, 50) + copy + fresh(rng, 50)]
+            one, two = (np.array([int.from_bytes(w.encode()[:7]) for w in t]) for t in (copy, passage))
+            if passages.agreeing(one, two) >= passages.AGREE * len(copy):  # by an alignment of all words
+                wanted[len(texts) - 1] = (rate, len(copy))
+    got = spans_of(spark, texts)
+    assert set(got) <= set(wanted)
+    for rate in (0.0, 0.05, 0.08, 0.1):
+        cases = [(i, n) for i, (r, n) in wanted.items() if r == rate]
+        covered = [sum(max(0, min(b, 50 + n) - max(a, 50)) for a, b in got.get(i, [])) for i, n in cases]
+        assert all(c >= 50 for c in covered) and sum(covered) >= 0.95 * sum(n for _, n in cases), rate
+
+
 def test_chains_are_collinear_and_best():
     rng = random.Random(4)
     for _ in range(50):
