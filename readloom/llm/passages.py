@@ -3,8 +3,12 @@
 1. Every text gives seeds: runs of ``SEED`` words that are the least-hashed of
    some ``WINDOW`` consecutive runs, so two texts that share
    SEED + WINDOW - 1 words in a row share a seed.
-2. A seed that occurs in several documents joins each occurrence to one place:
-   the first in the least document. Pairs grow with occurrences, not squares.
+2. A seed that occurs in several documents joins each occurrence to at most
+   three places: the first in the least document, the first with the same
+   ``CONTEXT`` words before it and the first with the same words after it. Where
+   the least document's copy ends inside a longer passage, a seed next to that
+   end leads on to a document that goes on. Pairs grow with occurrences, not
+   squares.
 3. The matches of a document with an earlier one are chained in order, with a
    cost for gaps; a Fenwick tree holds the best chain up to each place, so a
    group of n matches takes n log n steps.
@@ -30,6 +34,7 @@ from .narrow import marked
 from .scratch import Scratch
 
 SEED, WINDOW, MIN_WORDS = 6, 6, 50
+CONTEXT = 6  # words beside a seed; no fewer than WINDOW, so that some seed's context crosses any border in an exact copy
 GAP_COST = 0.1  # per word, on either side; a match is worth its words
 MIN_CHAIN = 16  # words of a chain that may be part of a passage
 AGREE = 0.8  # share of a chain's words that must agree
@@ -64,18 +69,29 @@ def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value).view(np.int64))], names=["value"])
 
 
+def beside(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of up to ``CONTEXT`` words before and after the seeds at ``at``."""
+    padded = np.concatenate([np.zeros(CONTEXT, np.uint64), hashes, np.zeros(CONTEXT, np.uint64)])
+    runs = shingles(padded, CONTEXT)
+    return runs[at], runs[at + CONTEXT + SEED]
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in row_groups(batch, "text"):
-            value, row, pos = [], [], []
-            for i, _, runs, at in _runs(rows):
+            value, row, pos, left, right = [], [], [], [], []
+            for i, hashes, runs, at in _runs(rows):
                 value.append(runs[at])
                 row.append(np.full(len(at), i))
                 pos.append(at)
+                before, after = beside(hashes, at)
+                left.append(before)
+                right.append(after)
             if value:
                 take = pa.array(np.concatenate(row))
-                columns = [pa.array(np.concatenate(value).view(np.int64)), rows.column("doc_id").take(take), rows.column("h").take(take), pa.array(np.concatenate(pos).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["value", "doc_id", "h", "pos"])
+                sides = [pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)]
+                columns = [pa.array(np.concatenate(value).view(np.int64)), rows.column("doc_id").take(take), rows.column("h").take(take), pa.array(np.concatenate(pos).astype(np.int32)), *sides]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "doc_id", "h", "pos", "left", "right"])
 
 
 class Fenwick:
@@ -338,16 +354,25 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     plain = _keyed(documents)
     several = plain.mapInArrow(_values, "value long").groupBy("value").count().where("count > 1").select("value")
     several = scratch.table(several, "several")  # a table: Spark splits hot keys of joins between plain shuffles only
-    seeds = plain.mapInArrow(_seeds, "value long, doc_id long, h long, pos int")
+    seeds = plain.mapInArrow(_seeds, "value long, doc_id long, h long, pos int, left long, right long")
     seeds = marked(seeds, F.col("value"), several, F.col("value"), "hit").where("hit").drop("hit")
     shared = scratch.table(seeds.join(several, "value", "left_semi"), "shared")
     least = F.min(F.struct("doc_id", "h", "pos")).alias("t")
     place = [F.col("t.doc_id").alias("t_doc"), F.col("t.h").alias("t_h"), F.col("t.pos").alias("y")]
     first = scratch.table(shared.groupBy("value").agg(least).select("value", *place), "first")
     matches = shared.join(first, "value").where("doc_id <> t_doc or h <> t_h").select("doc_id", "h", "t_doc", "t_h", "pos", "y")
+    sides = F.explode(F.array(F.xxhash64("value", "left", F.lit(0)), F.xxhash64("value", "right", F.lit(1)))).alias("side")
+    contexts = shared.select("value", "doc_id", "h", "pos", sides)
+    others = contexts.groupBy("side").agg(F.min("value").alias("value"), least, F.min(_key()).alias("one"), F.max(_key()).alias("two"))
+    others = others.where("one <> two").select("side", "value", F.col("t.doc_id").alias("o_doc"), F.col("t.h").alias("o_h"), F.col("t.pos").alias("o_y"))
+    others = others.join(first, "value").where("o_doc <> t_doc or o_h <> t_h or o_y <> y").select("side", F.col("o_doc").alias("t_doc"), F.col("o_h").alias("t_h"), F.col("o_y").alias("y"))
+    others = scratch.table(others, "others")
+    contexts = marked(contexts, F.col("side"), others, F.col("side"), "hit").where("hit").select("side", "doc_id", "h", "pos")
+    further = contexts.join(others, "side").where("doc_id <> t_doc or h <> t_h")
+    matches = matches.union(further.select(*matches.columns))
     per_doc = matches.groupBy("doc_id", "h").agg(F.collect_list(F.struct("t_doc", "t_h", F.col("pos").alias("x"), "y")).alias("matches"))
     found = scratch.table(per_doc.mapInArrow(_chain, CHAINS), "chains")
-    scratch.drop("shared", "several", "first")
+    scratch.drop("shared", "several", "first", "others")
 
     sizes = found.groupBy("t_doc", "t_h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("doc_id", "h", "part_no"), F.col("blocks"))

@@ -349,6 +349,14 @@ def test_fuzzy_passages_by_edit_rate(spark):
         assert all(c >= 50 for c in covered) and sum(covered) >= 0.95 * sum(n for _, n in cases), rate
 
 
+def test_passages_go_beyond_the_part_that_the_least_document_has(spark):
+    rng, texts = random.Random(22), []
+    for part, whole in [(40, 52), (45, 55), (49, 60)] * 12:
+        passage = fresh(rng, whole)
+        texts += [fresh(rng, 30) + passage[:part] + fresh(rng, 30), fresh(rng, 40) + passage + fresh(rng, 40), fresh(rng, 20) + passage + fresh(rng, 20)]
+    assert spans_of(spark, texts) == {3 * i + 2: [(20, 20 + whole)] for i, (_, whole) in enumerate([(40, 52), (45, 55), (49, 60)] * 12)}
+
+
 def test_chains_are_collinear_and_best():
     rng = random.Random(4)
     for _ in range(50):
