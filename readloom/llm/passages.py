@@ -125,7 +125,7 @@ def chains(x: np.ndarray, y: np.ndarray, size: int = SEED, cost: float = GAP_COS
     order = np.lexsort((y, x - y))
     x, y = x[order], y[order]
     new = np.ones(len(x), bool)
-    new[1:] = ((x - y)[1:] != (x - y)[:-1]) | (x[1:] > x[:-1] + size + WINDOW)
+    new[1:] = ((x - y)[1:] != (x - y)[:-1]) | (x[1:] > x[:-1] + size)
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(x)) - 1
     pieces = sorted(zip(x[starts].tolist(), y[starts].tolist(), (x[ends] - x[starts] + size).tolist()))

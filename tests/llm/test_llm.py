@@ -357,6 +357,16 @@ def test_passages_go_beyond_the_part_that_the_least_document_has(spark):
     assert spans_of(spark, texts) == {3 * i + 2: [(20, 20 + whole)] for i, (_, whole) in enumerate([(40, 52), (45, 55), (49, 60)] * 12)}
 
 
+def test_templates_with_other_words_in_their_slots_stay(spark):
+    rng, texts = random.Random(23), []
+    for fixed in [16, 12] * 10:
+        lines = [fresh(rng, fixed) for _ in range(12)]
+        texts += [[w for line in lines for w in line + fresh(rng, 12)] for _ in range(2)]
+    lines = [fresh(rng, n) for n in (60, 16, 16)]  # only the first is long enough by itself
+    texts += [[w for line in lines for w in line + fresh(rng, 12)] for _ in range(2)]
+    assert spans_of(spark, texts) == {41: [(0, 60)]}
+
+
 def test_chains_are_collinear_and_best():
     rng = random.Random(4)
     for _ in range(50):
