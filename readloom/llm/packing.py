@@ -28,7 +28,7 @@ from .scratch import Scratch
 from .tokens import tokenizer
 
 CAPACITY = 4096
-NODES = 2000  # completions looked at by one search
+NODES = 2000  # completions looked at by one search after its first descent, or as many as there are lengths
 FILLINGS = 24  # alternatives kept at one node
 Pattern = tuple[tuple[int, ...], int]  # lengths in a sequence, number of such sequences
 
@@ -153,6 +153,7 @@ class Search:
         left = np.zeros(self.capacity + 1, np.int64)
         left[list(counts)] = list(counts.values())
         total, used, plan = sum(k * n for k, n in counts.items()), 0, []
+        descended = False
         open_choices = [self._choices(left)]
         while open_choices and self.used > self.bound and self.nodes > 0:
             step = next(open_choices[-1], None)
@@ -164,13 +165,14 @@ class Search:
                     total, used = total + sum(items) * times, used - times
                 continue
             items, times = step
-            self.nodes -= 1
+            self.nodes -= descended  # the first descent is not counted
             np.subtract.at(left, list(items), times)
             total, used = total - sum(items) * times, used + times
             plan.append(step)
             if not total and used < self.used:
                 self.best, self.used = list(plan), used
             gain = total and used + -(-total // self.capacity) < self.used  # else waste so far leaves nothing to gain
+            descended |= not gain
             open_choices.append(self._choices(left) if gain else iter(()))
 
     def _choices(self, left: np.ndarray) -> Iterator[Pattern]:
@@ -192,7 +194,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NOD
     if not counts:
         return []
     start = best_fit(counts, capacity)
-    search = Search(capacity, lower_bound(counts, capacity), start, sum(n for _, n in start), nodes)
+    search = Search(capacity, lower_bound(counts, capacity), start, sum(n for _, n in start), max(nodes, len(counts)))
     search.run(counts)
     return search.best
 

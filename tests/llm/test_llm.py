@@ -245,6 +245,13 @@ def test_plans_are_optimal_on_small_cases():
         assert sum(n for _, n in plan) == brute_bins(items, capacity) >= packing.lower_bound(counts, capacity) * bool(items)
 
 
+def test_first_descent_ends_with_many_lengths():
+    rng = random.Random(1)
+    counts = Counter([rng.randint(800, 2000) for _ in range(60000)] + [rng.randint(2000, 4096) for _ in range(20000)])
+    assert len(counts) > packing.NODES
+    assert sum(n for _, n in packing.plan_bins(counts)) < sum(n for _, n in packing.best_fit(counts, 4096))
+
+
 def test_packing_of_documents(spark):
     texts = ODD + odd_texts(6, 100) + [" ".join(vocabulary(random.Random(7), 900))]
     got = packing.pack(clashing(documents(spark, texts)), WORD, 1, capacity=64).collect()
