@@ -469,6 +469,13 @@ def test_rates_meet_targets(spark):
     assert mixing.mix(docs.where("false"), labelled, {"en": 1.0}).count() == 0
 
 
+def test_rates_of_a_rare_domain_meet_its_target(spark):
+    rows = [(i, 100, *((0.001, 0.999) if i % 100 == 0 else (0.999, 0.001))) for i in range(1000)]
+    members = spark.createDataFrame(rows, "doc_id long, tokens long, p0 double, p1 double").coalesce(1)
+    rate, errors = mixing.fit_rates(members, ["en", "es"], {"en": 0.5, "es": 0.5})
+    assert max(map(abs, errors)) < mixing.CLOSE
+
+
 def test_no_listed_domain_shrinks_by_default():
     assert mixing.goal_tokens(["a", "b"], [100.0, 10.0], {"a": 0.5, "b": 0.5}, None) == [102.0, 102.0]
     assert mixing.goal_tokens(["a", "b"], [100.0, 10.0], {"a": 1.0}, 50.0) == [50.0, 10.0]
