@@ -38,13 +38,15 @@ def _words(text: Column) -> Column:
 def fit_domains(documents: DataFrame, labelled: DataFrame, scratch: Scratch) -> tuple[list[str], list[float], DataFrame]:
     """Domains in order, log priors and the model (word, l0, l1, ...) of ``labelled`` (doc_id, domain) and the texts of ``documents``. Runs at once.
 
-    Rows without id, text or domain teach nothing; priors count all labels. At
-    most ``DOMAINS`` domains, the most frequent, are told apart. The sample is
+    Rows without id, text or domain teach nothing; priors count all labels. More
+    than ``DOMAINS`` domains raise. The sample is
     taken from ids by a hash, about ``SAMPLE`` a domain, so it is broadcast and
     no text is shuffled.
     """
     usable = labelled.where("doc_id is not null and domain is not null").select("doc_id", "domain").distinct()
-    sizes = usable.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()
+    sizes = usable.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS + 1).collect()
+    if len(sizes) > DOMAINS:
+        raise ValueError(f"labels name more than {DOMAINS} domains")
     domains = sorted(x["domain"] for x in sizes)
     total = sum(x["count"] for x in sizes) or 1
     priors = {x["domain"]: x["count"] / total for x in sizes}

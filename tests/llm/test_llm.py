@@ -476,6 +476,12 @@ def test_rates_of_a_rare_domain_meet_its_target(spark):
     assert max(map(abs, errors)) < mixing.CLOSE
 
 
+def test_too_many_domains_raise(spark):
+    labelled = spark.range(65).selectExpr("id as doc_id", "concat('d', id) as domain")
+    with pytest.raises(ValueError, match="64 domains"):
+        mixing.fit_domains(documents(spark, ["a"]), labelled, Scratch(spark, "test"))
+
+
 def test_no_listed_domain_shrinks_by_default():
     assert mixing.goal_tokens(["a", "b"], [100.0, 10.0], {"a": 0.5, "b": 0.5}, None) == [102.0, 102.0]
     assert mixing.goal_tokens(["a", "b"], [100.0, 10.0], {"a": 1.0}, 50.0) == [50.0, 10.0]
