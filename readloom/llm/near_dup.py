@@ -1,22 +1,25 @@
 """Operator 2: near duplicates from bottom-k sketches of one hash function.
 
-1. Each text gives its set of shingles, a fingerprint of the set and the k
-   least hash values (the sketch). Equal sets form a class with one
+1. Each text gives its set of shingles, a fingerprint of the set (128 bits) and
+   the k least hash values (the sketch). Equal sets form a class with one
    representative; only representatives go on.
 2. Inverted lists of the retained values give pairs that overlap. A list of at
-   most ``LIST`` classes gives all its pairs. Longer lists (a passage that many
-   documents share, a large group of near copies) give no pairs among their
-   members. They matter only for classes that have little else: two linked
-   classes differ in at most 1 - threshold of their union, so unless most of a
-   sketch lies in long lists, short lists hold both (see ``most_unshared``).
-   Classes that lie in long lists mostly are held against one pivot per list,
-   the member with the fewest other values. What remains apart from its pivot's
-   component is held against the list's other members, sketch against sketch,
-   in blocks joined to blocks, and there decided; only links come out, one for
-   each class and component.
+   most ``LIST`` classes gives all its pairs, from each class's rarest lists
+   (as many as hold what a linked pair has in common, see ``prefix``). Longer
+   lists (a passage that many documents share, a large group of near copies)
+   give no pairs among their members: each class that lies in them for the
+   most part is held against one pivot of each list and band of sizes, the
+   member with the fewest other values.
 3. The sketch of a pair's union estimates its similarity. Pairs far below the
    threshold go (``MARGIN`` standard deviations, at least).
 4. The rest is decided on full sets, in whole numbers.
+5. Where a pivot's group still falls into several components, the links that
+   it may hide are found exactly, from what each member's full set differs from
+   the pivot's. A pair of members is linked if and only if their differences
+   have enough in common, and for a member that isn't linked to the pivot that
+   is one value at least. So differences are joined on their rarest values
+   only, few of them (a prefix filter), and only members that can have enough
+   in common with some other component take part (see ``_Apart``).
 """
 
 from __future__ import annotations
@@ -36,12 +39,9 @@ from .scratch import Scratch
 
 K = 64
 LIST = 32  # classes in a list that gives all its pairs
-SHORT = 16  # of a class's short lists, those with the least values are used
-OVERLAPS = 2  # of them that a pair must have in common; linked classes that differ have most of them, and at least four values, in common
-LONG = 6  # and of its long ones
-ENOUGH = 0.4  # share of a whole set (one smaller than a sketch) outside long lists at which short lists are enough
+OVERLAPS = 2  # values in short lists that a pair must have in common; linked classes that differ have at least four in common
 MARGIN = 5.3
-BLOCK = 128  # classes of a list that are held against others at once
+NO_ID = 2**63 - 1
 
 
 def shingle_sets(rows: pa.RecordBatch, text: str, width: int) -> Iterator[np.ndarray]:
@@ -93,72 +93,10 @@ def _sets(width: int):
                 for node, f1, f2, values in zip(rows.column("node").to_pylist(), rows.column("f1").to_pylist(), rows.column("f2").to_pylist(), shingle_sets(rows, "text", width)):
                     if (f1, f2) == fingerprint(values):
                         nodes.append(node)
-                        sets.append(values.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
-
-    return run
-
-
-def alike(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets are linked."""
-    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-        return False
-    both = np.sort(np.concatenate([one, two]))
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(both) - common)
-
-
-def _linked(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for x, y, p, q in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("set_a"), batch.column("set_b")):
-                if alike(np.frombuffer(p.as_buffer(), np.int64), np.frombuffer(q.as_buffer(), np.int64), percent):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def _blocks(k: int, share: float, apart: float, percent: int):
-    """Blocks of list members against blocks of the same list's leftovers: links between different components, one for each leftover and component.
-
-    Both sketches are complete up to the lesser of their greatest values (a
-    sketch of under ``k`` values is a whole set), so the values up to there
-    estimate the similarity. Two linked classes can't both have many values
-    outside long lists: at most ``apart`` together. What passes is decided on
-    the full sets, the likeliest partner of a component first.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                rest, members = batch.column("rest")[r].as_py(), batch.column("members")[r].as_py()
-                flat = np.concatenate([np.array(m["sketch"], np.int64) for m in members])
-                sizes = np.array([len(m["sketch"]) for m in members])
-                starts = np.cumsum(sizes) - sizes
-                component, other, node = (np.array([m[c] for m in members], np.int64) for c in ("component", "other", "node"))
-                last = np.where(sizes < k, np.iinfo(np.int64).max, flat[starts + sizes - 1])
-                a, b = [], []
-                for x in rest:
-                    if not ((other + x["other"] <= apart) & (component != x["component"])).any():
-                        continue
-                    own = np.array(x["sketch"], np.int64)
-                    upto = np.minimum(last, own[-1] if len(own) >= k else np.iinfo(np.int64).max)
-                    below = flat <= np.repeat(upto, sizes)
-                    place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                    common = np.add.reduceat((own[place] == flat) & below, starts)
-                    union = np.searchsorted(own, upto, "right") + np.add.reduceat(below, starts) - common
-                    near = np.flatnonzero((common >= share * union) & (component != x["component"]) & (other + x["other"] <= apart))
-                    whole, reached = np.frombuffer(x["set"], np.int64), set()
-                    for i in near[np.argsort(-(common / union)[near], kind="stable")].tolist():
-                        if int(component[i]) not in reached and alike(whole, np.frombuffer(members[i]["set"], np.int64), percent):
-                            reached.add(int(component[i]))
-                            a.append(min(x["node"], int(node[i])))
-                            b.append(max(x["node"], int(node[i])))
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                        sets.append(values)
+                if nodes:
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["node", "set"])
 
     return run
 
@@ -190,6 +128,11 @@ def most_unshared(percent: int, n: float) -> float:
     return (1 - t) * n + MARGIN * math.sqrt(n * t * (1 - t))
 
 
+def prefix(percent: int, k: int) -> int:
+    """Of a class's lists in any fixed order, how many hold ``OVERLAPS`` of those that it has in common with a linked class, if there are so many."""
+    return math.floor(most_unshared(percent, k)) + OVERLAPS
+
+
 def floor_of_estimate(percent: int, k: int) -> float:
     t = percent / 100
     return t - MARGIN * math.sqrt(t * (1 - t) / k)
@@ -211,52 +154,40 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     scratch = Scratch(spark, "neardup")
     plain = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = scratch.table(plain.withColumns({"row": F.monotonically_increasing_id(), "h": F.xxhash64("text")}).mapInArrow(_sketch(width, k), SKETCHES), "sketches")
-    order = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("row"))
+    order = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.col("row"), F.col("h"), F.col("n"))
     classes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min(order).alias("least"))
-    classes = scratch.table(classes.select("f1", "f2", F.col("least.row").alias("node"), F.col("least.d").alias("doc_id")), "classes")
-    nodes = scratch.table(sketches.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "sketch"), "nodes")
+    classes = scratch.table(classes.select("f1", "f2", F.col("least.row").alias("node"), F.col("least.d").alias("doc_id"), "least.h", "least.n"), "classes")
+    nodes = scratch.table(sketches.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "n", "sketch"), "nodes")
 
-    lists = nodes.select("node", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
+    lists = nodes.select("node", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
     shared = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
     shared = scratch.table(shared, "shared")  # a table: Spark splits hot keys of joins between plain shuffles only
     lists = scratch.table(lists.join(shared, "value"), "lists")
-    rank = Window.partitionBy("node").orderBy("value")
-    short = lists.where(F.col("members") <= LIST).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= SHORT).select("value", "node")
+    rarest = Window.partitionBy("node").orderBy("members", "value")
+    ranked = lambda rows: rows.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= prefix(percent, k))
+    short = ranked(lists.where(F.col("members") <= LIST)).select("value", "node")
     pairs = short.alias("x").join(short.alias("y"), "value").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     pairs = pairs.groupBy("a", "b").count().where(F.col("count") >= OVERLAPS).select("a", "b")
 
     hot = lists.where(F.col("members") > LIST)
-    mostly = hot.groupBy("node").agg((F.first("kept") - F.count("*")).alias("other"), F.first("kept").alias("kept"))
-    few = F.when(F.col("kept") < k, ENOUGH * F.col("kept")).otherwise(most_unshared(percent, k))
-    mostly = mostly.where(F.col("other") <= few).select("node", "other")
-    long_ = hot.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LONG).select("value", "node").join(mostly, "node")
-    long_ = scratch.table(long_, "long")
-    pivot = long_.groupBy("value").agg(F.min(F.struct("other", "node")).alias("p")).select("value", F.col("p.node").alias("pivot"))
-    pivot = scratch.table(pivot, "pivot")
-    stars = long_.join(pivot, "value").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    long_ = ranked(hot.join(_mostly_shared(hot, percent, k), "node")).select("value", "node", "n", "other")
+    step = math.log(100 / percent) * (1 + 1e-6)  # sizes of linked classes are in one band or in neighbouring ones
+    band = F.floor(F.log("n") / F.lit(step))
+    long_ = scratch.table(long_.withColumn("band", F.explode(F.array(band, band + 1))).drop("n"), "long")
+    pivot = scratch.table(long_.groupBy("value", "band").agg(F.min(F.struct("other", "node")).alias("p")).select("value", "band", F.col("p.node").alias("pivot")), "pivot")
+    groups = scratch.table(long_.join(pivot, ["value", "band"]).select("node", "pivot").distinct(), "groups")
+    stars = groups.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     check = _Check(plain, classes, nodes, scratch, width, percent, k)
-    links = check.linked(check.near(pairs.unionByName(stars).distinct(), "1"), "1")
+    links = check.linked(check.near(pairs.unionByName(stars).distinct()))
     labels = connected_components(links, scratch, "components")
 
-    named = long_.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    center = named.join(pivot, [named.value == pivot.value, named.node == pivot.pivot]).select(named.value, F.col("component").alias("center"))
-    rest = scratch.table(named.join(center, "value").where("component <> center").select("value", "node", "component", "other"), "rest")
-    if not rest.isEmpty():
-        apart = rest.select("value").distinct()
-        members = named.join(apart, "value", "left_semi").select("value", "node", "component", "other")
-        most = most_unshared(percent, 1.1 * k) + OVERLAPS
-        sets = check.sets(members.select("node").distinct(), "members")
-        size = long_.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-
-        def blocks(rows: DataFrame, name: str) -> DataFrame:
-            block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-            cell = F.collect_list(F.struct("node", "component", "other", "sketch", "set")).alias(name)
-            cells = rows.join(nodes, "node").join(sets, "node").join(size, "value").groupBy("value", block.alias(f"{name}_block"), F.floor(F.col("other") / 4).alias(f"{name}_band"))
-            return cells.agg(cell, F.min("other").alias(f"{name}_least"))
-
-        met = blocks(rest, "rest").join(blocks(members, "members"), "value").where(F.col("rest_least") + F.col("members_least") <= most).select("rest", "members")
-        more = met.mapInArrow(_blocks(k, floor_of_estimate(percent, k), most, percent), "a long, b long")
-        links = links.unionByName(scratch.table(more, "links-2"))
+    named = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    center = named.where("node = pivot").select("pivot", F.col("component").alias("center"))
+    named = named.join(center, "pivot").withColumn("apart", F.col("component") != F.col("center")).drop("center")
+    split = scratch.table(named.where("apart").select("pivot").distinct(), "split")
+    if not split.isEmpty():
+        members = scratch.table(named.join(split, "pivot", "left_semi"), "members")
+        links = links.unionByName(_Apart(check, members, scratch, percent).links())
         labels = connected_components(links, scratch, "all-components")
 
     of_doc = classes.select("node", "doc_id")
@@ -268,25 +199,34 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     rows = sketches.select("row", "doc_id", "h", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2")
     out = rows.join(of_class, ["f1", "f2"], "left").select(
         "row", "doc_id", "h", F.col("n").alias("n_shingles"),
-        F.when(F.col("first_row").isNull(), F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(2**63 - 1))).alias("component_id"),
+        F.when(F.col("first_row").isNull(), F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(NO_ID))).alias("component_id"),
         (F.col("first_row").isNull() | (F.col("first_row") == F.col("row"))).alias("first"),
     )
-    out = scratch.table(out, "out")
-    scratch.drop("sketches", "classes", "nodes", "lists", "shared", "pivot", "long", "rest", "sets-members")
-    return out
+    return scratch.last(out, "out")
+
+
+def _mostly_shared(hot: DataFrame, percent: int, k: int) -> DataFrame:
+    """node, other: classes with so few values outside long lists that they may share none, or one, of those with a linked class.
+
+    A whole set (fewer than ``k`` values) may differ from a linked one in a
+    share of its own size, and a sketch cut at ``k`` may lack some of its values.
+    """
+    t = percent / 100
+    cut = F.when(F.col("kept") > t * k, 0.65).otherwise((1 - t) / t + 1e-9) * F.col("kept")
+    few = F.when(F.col("kept") < k, F.floor(cut)).otherwise(math.floor(most_unshared(percent, k))) + OVERLAPS - 1
+    return hot.groupBy("node").agg((F.first("kept") - F.count("*")).alias("other"), F.first("kept").alias("kept")).where(F.col("other") <= few).select("node", "other")
 
 
 def without_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` with one row of each component, the first; texts without shingles all stay."""
+    """``documents`` with one row of each component, the first; texts without shingles all stay. Rows equal in id and text count as one."""
     found = near_duplicates(documents, width, percent).where("n_shingles > 0")
-    keyed = found.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("_doc"), F.col("h").alias("_h"), "first")
-    state = keyed.groupBy("_doc", "_h").agg(F.max("first").alias("_stays"), F.count("*").alias("_n")).where("not _stays or _n > 1")
-    tagged = documents.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.xxhash64("text")})
-    tagged = marked(tagged, F.xxhash64("_doc", "_h"), state, F.xxhash64("_doc", "_h"), "_hit")
-    met = tagged.where("_hit").join(state, ["_doc", "_h"], "left")
-    names = documents.columns
-    once = met.where("_stays").dropDuplicates(["_doc", "_h"]).select(*names)
-    return tagged.where("not _hit").select(*names).unionByName(met.where("_stays is null").select(*names)).unionByName(once)
+    keyed = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "h", "first")
+    state = keyed.groupBy("doc", "h").agg(F.max("first").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
+    tagged = documents.select(F.struct("*").alias("given"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("h"))
+    tagged = marked(tagged, F.xxhash64("doc", "h"), state, F.xxhash64("doc", "h"), "hit")
+    met = tagged.where("hit").join(state, ["doc", "h"], "left")
+    once = met.where("stays").dropDuplicates(["doc", "h"]).select("given.*")
+    return tagged.where("not hit").select("given.*").unionByName(met.where("stays is null").select("given.*")).unionByName(once)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -300,31 +240,83 @@ class _Check:
         self.plain, self.classes, self.nodes, self.scratch = plain, classes, nodes, scratch
         self.width, self.percent, self.k = width, percent, k
 
-    def near(self, pairs: DataFrame, tag: str) -> DataFrame:
+    def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches may belong to linked classes."""
-        pairs = self.scratch.table(pairs, f"pairs-{tag}")
+        pairs = self.scratch.table(pairs, "pairs")
         held = self.nodes.join(_ends(pairs), "node", "left_semi")
         near = pairs.join(held.select(F.col("node").alias("a"), F.col("sketch").alias("s")), "a").join(held.select(F.col("node").alias("b"), F.col("sketch").alias("t")), "b")
         near = near.select("a", "b", "s", "t").mapInArrow(_near(self.k, floor_of_estimate(self.percent, self.k)), "a long, b long")
-        near = self.scratch.table(near, f"estimated-{tag}")
-        self.scratch.drop(f"pairs-{tag}")
-        return near
+        return self.scratch.table(near, "estimated")
 
-    def linked(self, near: DataFrame, tag: str) -> DataFrame:
+    def linked(self, near: DataFrame) -> DataFrame:
         """Pairs that are linked, by their full sets."""
-        sets = self.sets(_ends(near), tag)
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        found = self.scratch.table(both.mapInArrow(_linked(self.percent), "a long, b long"), f"links-{tag}")
-        self.scratch.drop(f"estimated-{tag}", f"sets-{tag}")
-        return found
+        sets = self.sets(_ends(near), "ends")
+        both = near.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
+        common, sizes = F.size(F.array_intersect("s", "t")), F.size("s") + F.size("t")
+        return self.scratch.table(both.where(100 * common >= self.percent * (sizes - common)).select("a", "b"), "links")
 
     def sets(self, wanted: DataFrame, tag: str) -> DataFrame:
-        """node, set of the wanted classes."""
-        wanted = self.classes.join(wanted, "node", "left_semi")
-        texts = self.plain.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text")
-        texts = marked(texts, F.xxhash64("doc_id"), wanted, F.xxhash64("doc_id"), "hit").where("hit").drop("hit")
-        texts = texts.join(wanted, "doc_id").select("node", "f1", "f2", "text")
-        return self.scratch.table(texts.mapInArrow(_sets(self.width), "node long, set binary").dropDuplicates(["node"]), f"sets-{tag}")
+        """node, set of the wanted classes, each from one row that has its representative's id and text."""
+        wanted = self.scratch.table(self.classes.join(wanted, "node", "left_semi"), f"wanted-{tag}")
+        key = F.xxhash64("doc_id", "h")
+        texts = self.plain.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+        texts = marked(texts, key, wanted, key, "hit").where("hit").drop("hit").dropDuplicates(["doc_id", "h"])
+        texts = texts.join(wanted, ["doc_id", "h"]).select("node", "f1", "f2", "text")
+        return self.scratch.table(texts.mapInArrow(_sets(self.width), "node long, set array<long>"), f"sets-{tag}")
+
+
+class _Apart:
+    """Links between different components of a pivot's group, from differences of full sets.
+
+    Let d(x) be what a member's set x and the pivot's p don't have in common. As
+    x and y differ by |d(x)| + |d(y)| - 2 |d(x) & d(y)| shingles, they are linked
+    if and only if 2q |d(x) & d(y)| >= w(x) + w(y), where q = 100 + percent and
+    w(x) = q |d(x)| - (100 - percent) |x|. A member apart from the pivot's
+    component has w(x) > -w(p), and w(p) is the least of all, so the right side
+    is above 0: such a pair shares values of its differences. Values that one
+    member alone has drop out; a member that has u left can share u at most, so
+    z(x) = 2q u(x) - w(x) must reach w(y), and the other way round. Of the u
+    values, in any fixed order, all but the last (least number to share) - 1 are
+    a prefix in which some shared value must lie; the rarest come first.
+    """
+
+    def __init__(self, check: _Check, members: DataFrame, scratch: Scratch, percent: int):
+        self.check, self.members, self.scratch = check, members, scratch
+        self.q, self.r = 100 + percent, 100 - percent
+
+    def links(self) -> DataFrame:
+        table, group = self.scratch.table, Window.partitionBy("pivot", "node").orderBy("holders", "value")
+        sets = self.check.sets(self.members.select("node").distinct(), "members")
+        diffs = self.members.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("p")), "pivot")
+        differ = F.concat(F.array_except("set", "p"), F.array_except("p", "set"))
+        diffs = diffs.select("pivot", "node", "component", "apart", F.size("set").alias("n"), differ.alias("d"))
+        diffs = table(diffs.withColumn("w", F.lit(self.q).cast("long") * F.size("d") - F.lit(self.r).cast("long") * F.col("n")), "diffs")
+        each = diffs.select("pivot", "node", F.explode("d").alias("value"))
+        holders = table(each.groupBy("pivot", "value").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
+        each = table(each.join(holders, ["pivot", "value"]), "shared-differences")
+        counts = each.groupBy("pivot", "node").agg(F.count("*").alias("u"))
+        state = diffs.drop("d", "n").join(counts, ["pivot", "node"]).withColumn("z", 2 * self.q * F.col("u") - F.col("w"))
+        state = table(state, "state")
+
+        def least_most(rows: DataFrame, tag: str) -> DataFrame:
+            return rows.groupBy("pivot").agg(F.min("w").alias(f"w_{tag}"), F.max("z").alias(f"z_{tag}"))
+
+        bounds = least_most(state.where("apart"), "apart").join(least_most(state, "any"), "pivot")
+        low, high = (F.when(F.col("apart"), F.col(f"{c}_any")).otherwise(F.col(f"{c}_apart")) for c in "wz")
+        able = state.join(bounds, "pivot").withColumns({"low": low, "high": high}).where("z >= low and high >= w")
+        length = F.col("u") - F.ceil((F.col("w") + F.col("low")) / (2 * self.q)) + 1
+        able = table(able.withColumn("length", length).where("length > 0").select("pivot", "node", "component", "apart", "w", "z", "length"), "able")
+        ranked = each.join(able, ["pivot", "node"]).withColumn("place", F.row_number().over(group)).where("place <= length")
+        ranked = table(ranked.drop("holders", "place", "length"), "prefixes")
+        x, y = ranked.where("apart").alias("x"), ranked.alias("y")
+        met = x.join(y, ["pivot", "value"]).where("x.component <> y.component and x.z >= y.w and y.z >= x.w and (not y.apart or x.node < y.node)")
+        met = table(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "pivot").groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "met")
+        ends = met.select("pivot", F.col("a").alias("node")).union(met.select("pivot", F.col("b").alias("node"))).distinct()
+        held = table(diffs.select("pivot", "node", "w", "d").join(ends, ["pivot", "node"], "left_semi"), "held")
+        side = lambda c: held.select("pivot", F.col("node").alias(c), F.col("w").alias(f"w_{c}"), F.col("d").alias(f"d_{c}"))
+        both = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
+        both = both.where(2 * self.q * F.size(F.array_intersect("d_a", "d_b")) >= F.col("w_a") + F.col("w_b"))
+        return table(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "links-apart")
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,11 +39,18 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``table``, for the only one that anything still reads: the others go."""
+        out = self.table(df, name)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder):
+            if status.getPath().getName() != name:
+                self.drop(status.getPath().getName())
+        return out
+
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            remove(self.spark, self.path(name))
 
 
 def remove(spark: SparkSession, path: str) -> None:
