@@ -171,9 +171,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
 
     hot = lists.where(F.col("members") > LIST)
     long_ = ranked(hot.join(_mostly_shared(hot, percent, k), "node")).select("value", "node", "n", "other")
-    step = math.log(100 / percent) * (1 + 1e-6)  # sizes of linked classes are in one band or in neighbouring ones
-    band = F.floor(F.log("n") / F.lit(step))
-    long_ = scratch.table(long_.withColumn("band", F.explode(F.array(band, band + 1))).drop("n"), "long")
+    step = math.log(100 / percent) * (1 + 1e-6)  # sizes of linked classes differ by one step at most, and a band has three
+    bands = F.array_distinct(F.array(*[F.floor((F.log("n") + F.lit(more)) / F.lit(3 * step)) for more in (0.0, step)]))
+    long_ = scratch.table(long_.withColumn("band", F.explode(bands)).drop("n"), "long")
     pivot = scratch.table(long_.groupBy("value", "band").agg(F.min(F.struct("other", "node")).alias("p")).select("value", "band", F.col("p.node").alias("pivot")), "pivot")
     groups = scratch.table(long_.join(pivot, ["value", "band"]).select("node", "pivot").distinct(), "groups")
     stars = groups.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
@@ -183,7 +183,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
 
     named = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     center = named.where("node = pivot").select("pivot", F.col("component").alias("center"))
-    named = named.join(center, "pivot").withColumn("apart", F.col("component") != F.col("center")).drop("center")
+    named = scratch.table(named.join(center, "pivot").withColumn("apart", F.col("component") != F.col("center")).drop("center"), "named")
     split = scratch.table(named.where("apart").select("pivot").distinct(), "split")
     if not split.isEmpty():
         members = scratch.table(named.join(split, "pivot", "left_semi"), "members")
@@ -285,7 +285,7 @@ class _Apart:
         self.q, self.r = 100 + percent, 100 - percent
 
     def links(self) -> DataFrame:
-        table, group = self.scratch.table, Window.partitionBy("pivot", "node").orderBy("holders", "value")
+        table = self.scratch.table
         sets = self.check.sets(self.members.select("node").distinct(), "members")
         diffs = self.members.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("set").alias("p")), "pivot")
         differ = F.concat(F.array_except("set", "p"), F.array_except("p", "set"))
@@ -293,21 +293,19 @@ class _Apart:
         diffs = table(diffs.withColumn("w", F.lit(self.q).cast("long") * F.size("d") - F.lit(self.r).cast("long") * F.col("n")), "diffs")
         each = diffs.select("pivot", "node", F.explode("d").alias("value"))
         holders = table(each.groupBy("pivot", "value").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
-        each = table(each.join(holders, ["pivot", "value"]), "shared-differences")
-        counts = each.groupBy("pivot", "node").agg(F.count("*").alias("u"))
-        state = diffs.drop("d", "n").join(counts, ["pivot", "node"]).withColumn("z", 2 * self.q * F.col("u") - F.col("w"))
-        state = table(state, "state")
+        each = each.join(holders, ["pivot", "value"]).groupBy("pivot", "node").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("rarest"))
+        state = diffs.drop("d", "n").join(each.withColumn("u", F.size("rarest")), ["pivot", "node"])
+        state = table(state.withColumn("z", 2 * self.q * F.col("u") - F.col("w")), "state")
 
         def least_most(rows: DataFrame, tag: str) -> DataFrame:
             return rows.groupBy("pivot").agg(F.min("w").alias(f"w_{tag}"), F.max("z").alias(f"z_{tag}"))
 
-        bounds = least_most(state.where("apart"), "apart").join(least_most(state, "any"), "pivot")
+        bounds = table(least_most(state.where("apart"), "apart").join(least_most(state, "any"), "pivot"), "bounds")
         low, high = (F.when(F.col("apart"), F.col(f"{c}_any")).otherwise(F.col(f"{c}_apart")) for c in "wz")
         able = state.join(bounds, "pivot").withColumns({"low": low, "high": high}).where("z >= low and high >= w")
-        length = F.col("u") - F.ceil((F.col("w") + F.col("low")) / (2 * self.q)) + 1
-        able = table(able.withColumn("length", length).where("length > 0").select("pivot", "node", "component", "apart", "w", "z", "length"), "able")
-        ranked = each.join(able, ["pivot", "node"]).withColumn("place", F.row_number().over(group)).where("place <= length")
-        ranked = table(ranked.drop("holders", "place", "length"), "prefixes")
+        length = F.greatest(F.lit(0), F.col("u") - F.ceil((F.col("w") + F.col("low")) / (2 * self.q)) + 1).cast("int")
+        value = F.explode(F.slice("rarest", F.lit(1), length)["value"]).alias("value")
+        ranked = table(able.select("pivot", "node", "component", "apart", "w", "z", value), "prefixes")
         x, y = ranked.where("apart").alias("x"), ranked.alias("y")
         met = x.join(y, ["pivot", "value"]).where("x.component <> y.component and x.z >= y.w and y.z >= x.w and (not y.apart or x.node < y.node)")
         met = table(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "pivot").groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "met")
