@@ -22,19 +22,20 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 SCALE = 256.0
-LIMIT = 1 << 26
+WIDEST = 2.0**61  # of a quantised component; a block's values and their differences then fit 64 bits
+LONG = (-(1 << 63), (1 << 63) - 1)
 BLOCK_ROWS = 8192
 QUERY_ROWS = 256
 INDEX_SCHEMA = "block long, dim int, bits int, low long, n int, ids binary, slices binary"
-QUERY_SCHEMA = "dim int, n int, ids binary, rows binary"
+QUERY_SCHEMA = "dim int, n int, keys binary, ids binary, rows binary"
 
 
-def quantise(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Length of vector -> ids and floor(256 * x) of the rows that take part."""
+def quantise(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Length of vector -> numbers of the rows in the batch, ids and floor(256 * x) of the rows that take part."""
     vectors = vectors.cast(pa.large_list(pa.float64()))
     ends = np.frombuffer(vectors.buffers()[1], np.int64, len(vectors) + 1, vectors.offset * 8)
     flat = vectors.flatten() if vectors.null_count == 0 else None
-    parts: dict[int, tuple[list, list]] = {}
+    parts: dict[int, tuple[list, list, list]] = {}
     known = ids.is_valid().to_numpy(zero_copy_only=False) & vectors.is_valid().to_numpy(zero_copy_only=False)
     keys = ids.fill_null(0).to_numpy(zero_copy_only=False)
     if flat is None:
@@ -42,15 +43,18 @@ def quantise(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np
     else:
         ends = ends - ends[0]
     present = flat.is_valid().to_numpy(zero_copy_only=False)
-    values = np.floor(SCALE * flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64))
-    fine = present & np.isfinite(values) & (np.abs(values) < LIMIT)
+    plain = flat.fill_null(np.nan).to_numpy(zero_copy_only=False).astype(np.float64)
+    with np.errstate(over="ignore"):
+        values = np.floor(SCALE * plain)
+    fine, wide = present & np.isfinite(plain), np.abs(values) > WIDEST
     for i in np.flatnonzero(known).tolist():
         a, b = int(ends[i]), int(ends[i + 1])
         if b > a and fine[a:b].all():
-            got = parts.setdefault(b - a, ([], []))
-            got[0].append(keys[i])
-            got[1].append(values[a:b])
-    return {d: (np.array(k, np.int64), np.array(v).astype(np.int64)) for d, (k, v) in parts.items()}
+            if wide[a:b].any():
+                raise ValueError(f"vector {keys[i]} has a component beyond 2**53: its scores don't fit 64 bits")
+            for part, x in zip(parts.setdefault(b - a, ([], [], [])), (i, keys[i], values[a:b])):
+                part.append(x)
+    return {d: (np.array(n), np.array(k, np.int64), np.array(v).astype(np.int64)) for d, (n, k, v) in parts.items()}
 
 
 def slice_block(values: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -78,7 +82,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=["block", "dim", "bits", "low", "n", "ids", "slices"])
 
     for batch in batches:
-        for d, (ids, values) in quantise(batch.column("vec_id"), batch.column("embedding")).items():
+        for d, (_, ids, values) in quantise(batch.column("vec_id"), batch.column("embedding")).items():
             got = held.setdefault(d, [])
             got.append((ids, values))
             if sum(len(x[0]) for x in got) >= BLOCK_ROWS:
@@ -94,12 +98,13 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _query_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for d, (ids, values) in quantise(batch.column("vec_id"), batch.column("embedding")).items():
+        keys = batch.column("key").to_numpy()
+        for d, (rows, ids, values) in quantise(batch.column("vec_id"), batch.column("embedding")).items():
             for i in range(0, len(ids), QUERY_ROWS):
-                part = ids[i : i + QUERY_ROWS]
-                cells = [d, len(part), part.tobytes(), values[i : i + QUERY_ROWS].tobytes()]
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=["dim", "n", "ids", "rows"])
+                part = slice(i, i + QUERY_ROWS)
+                cells = [d, len(ids[part]), keys[rows[part]].tobytes(), ids[part].tobytes(), values[part].tobytes()]
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=["dim", "n", "keys", "ids", "rows"])
 
 
 def add_slices(slices: np.ndarray, flipped: np.ndarray, query: np.ndarray) -> list[np.ndarray]:
@@ -158,20 +163,22 @@ def select_top(score: list[np.ndarray], rows: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(ids: np.ndarray, low: int, slices: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, row id, score) of each query's k best rows of a block; a row with the query's id is none."""
+    """(number of the query, row id, score) of each query's k best rows of a block; a row with the query's id is none. Scores are exact and end at the limits of 64 bits."""
     flipped, top = ~slices, (1 << slices.shape[1]) - 1
     there = np.zeros(slices.shape[2] * 64, np.uint8)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for qid, q in zip(query_ids.tolist(), queries):
+    for number, (qid, q) in enumerate(zip(query_ids.tolist(), queries)):
         there[: len(ids)] = ids != qid
         rows = np.packbits(there, bitorder="little").view(np.uint64)
         score = add_slices(slices, flipped, q)
         best = select_top(score, rows, k)
         word, bit = best // 64, (best % 64).astype(np.uint64)
-        value = np.full(len(best), low * int(q.sum()) + top * int(q[q < 0].sum()), np.int64)
+        parts = q.tolist()
+        value = [low * sum(parts) + top * sum(x for x in parts if x < 0)] * len(best)
         for w, plane in enumerate(score):
-            value += ((plane[word] >> bit) & np.uint64(1)).astype(np.int64) << w
-        found.append((np.full(len(best), qid, np.int64), ids[best], value))
+            value = [v + (int(x) << w) for v, x in zip(value, (plane[word] >> bit) & np.uint64(1))]
+        value = [min(max(v, LONG[0]), LONG[1]) for v in value]
+        found.append((np.full(len(best), number), ids[best], np.array(value, np.int64)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -183,10 +190,10 @@ def _search(k: int):
                 d, n, m = x["dim"].as_py(), x["n"].as_py(), x["query_n"].as_py()
                 ids = np.frombuffer(x["ids"].as_buffer(), np.int64, n)
                 slices = np.frombuffer(x["slices"].as_buffer(), np.uint64).reshape(d, x["bits"].as_py(), -1)
-                qids = np.frombuffer(x["query_ids"].as_buffer(), np.int64, m)
+                keys, qids = (np.frombuffer(x[c].as_buffer(), np.int64, m) for c in ("query_keys", "query_ids"))
                 queries = np.frombuffer(x["query_rows"].as_buffer(), np.int64).reshape(m, d)
-                got = search_block(ids, x["low"].as_py(), slices, qids, queries, k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
+                number, row, score = search_block(ids, x["low"].as_py(), slices, qids, queries, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (keys[number], qids[number], row, score)], names=["key", "query_id", "vec_id", "score"])
 
     return run
 
@@ -196,27 +203,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     ``vectors`` and ``queries`` have vec_id and embedding (other columns are
     ignored). Rows whose id or vector is null, whose vector is empty or has
-    null or non-finite components (or some beyond +-2**18), take no part;
-    vectors of different lengths are not compared. Each row is a candidate of
-    its own, repeated ids too, except for queries of the same id; a query id
-    that repeats counts once, with its least vector. Blocks of the index meet
-    blocks of queries; only k rows per query and block leave a task.
+    null or non-finite components, take no part; finite components beyond 2**53
+    raise, and scores end at the limits of a long. Vectors of different lengths
+    are not compared. Each row is a candidate of its own, repeated ids too,
+    except for queries of the same id; each row of ``queries`` is a query of its
+    own, so an id that repeats has its ranks once a row. Blocks of the index
+    meet blocks of queries; only k rows per query and block leave a task.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "bitsliced")
     plain = lambda df: df.select(df["vec_id"].cast("long").alias("vec_id"), df["embedding"].cast("array<double>").alias("embedding"))
     index = scratch.table(plain(vectors).mapInArrow(_index, INDEX_SCHEMA), "index")
-    once = plain(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    once = scratch.table(once, "once")
-    blocks = max(1, math.ceil(once.count() / QUERY_ROWS))
-    asked = scratch.table(once.coalesce(blocks).mapInArrow(_query_rows, QUERY_SCHEMA), "asked")
-    asked = asked.select("dim", F.col("n").alias("query_n"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"))
-    cells = max(1, math.ceil(4 * int(spark.conf.get("spark.sql.shuffle.partitions")) / blocks))
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    asking = plain(queries).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & whole)
+    asking = scratch.table(asking.withColumn("key", F.monotonically_increasing_id()), "asking")
+    blocks = max(1, math.ceil(asking.count() / QUERY_ROWS))
+    asked = scratch.table(asking.coalesce(blocks).mapInArrow(_query_rows, QUERY_SCHEMA), "asked")
+    asked = asked.select("dim", F.col("n").alias("query_n"), F.col("keys").alias("query_keys"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"))
+    # Cells deal the index out. They grow with it, so that one holds few of its blocks however many queries there are.
+    cells = max(math.ceil(4 * int(spark.conf.get("spark.sql.shuffle.partitions")) / blocks), math.ceil(index.count() / 4), 1)
     asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    met = index.withColumn("cell", (F.xxhash64("block") % cells + cells).cast("int") % cells).join(asked, ["dim", "cell"])
-    met = met.select("dim", "bits", "low", "n", "ids", "slices", "query_n", "query_ids", "query_rows")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = index.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")).join(asked, ["dim", "cell"])
+    met = met.select("dim", "bits", "low", "n", "ids", "slices", "query_n", "query_keys", "query_ids", "query_rows")
+    found = met.mapInArrow(_search(k), "key long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("key", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -227,11 +237,11 @@ def op1_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+  SELECT q.row, q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -4,7 +4,7 @@ Features are TF-IDF weights of character 1- to 3-grams in 2**16 hashed places:
 letters lower-cased, every run of other characters one space. Document
 frequencies cover all documents that may be learned from. The weights are
 learned by follow-the-regularised-leader (per-coordinate rates, L1 and L2
-penalties) on at most ``SAMPLE`` documents a language, chosen by a hash; a
+penalties) on about ``SAMPLE`` documents a language, chosen by a hash; a
 temperature fitted on a part of the sample that the weights never saw
 calibrates the probabilities.
 """
@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bytescan import mix, row_groups
 
 PLACES = 1 << 16
-SAMPLE = 800  # documents a language at most
+SAMPLE = 800  # documents a language, about: each is taken with a chance of SAMPLE to all rows of its language
+LANGUAGES = 1000  # learned, the most frequent ones
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 GROUP = 2 << 20
@@ -52,7 +54,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts)), sizes)
     letter = folded != 32
     keep = letter.copy()
-    keep[1:] |= letter[:-1]
+    keep[1:] |= letter[:-1] & (owner[1:] == owner[:-1])
     folded, owner, letter = folded[keep].astype(np.uint64), owner[keep], letter[keep]
     has = np.zeros(len(texts), bool)
     has[owner[letter]] = True
@@ -164,15 +166,19 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of ``labelled`` (doc_id, text, lang); rows without text or lang teach nothing. Runs jobs at once.
 
-    The driver gets at most ``sample`` sparse vectors a language and one
-    frequency per place. Without any usable row the model knows no language.
+    The driver gets about ``sample`` sparse vectors a language and one
+    frequency per place. Documents are chosen by a hash of id and text against a
+    threshold, without any ranking, and rows equal in both teach once. Without
+    any usable row the model knows no language.
     """
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
     seen = usable.select("text").mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Ids are ranked without their texts; the chosen ones (bounded) then find theirs.
-    chosen = usable.select("lang", "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("lang", "doc_id")
-    rows = usable.join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).mapInArrow(_vectors, "lang string, at binary, tf binary").collect()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    most = float(1 << 40)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    chosen = usable.withColumns({"draw": draw}).join(F.broadcast(sizes), "lang").where(F.col("draw") * F.col("n") < sample * most)
+    chosen = chosen.dropDuplicates(["lang", "doc_id", "draw"])
+    rows = chosen.select("lang", "text").mapInArrow(_vectors, "lang string, at binary, tf binary").collect()
     rows = sorted((x["lang"], bytes(x["at"]), bytes(x["tf"])) for x in rows)
     langs = sorted({x[0] for x in rows})
     df, docs = np.zeros(PLACES), 1
@@ -201,10 +207,16 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 SCALE = 10.0  # of all features, so that weights stay near one
 
 
+def with_columns(given: DataFrame, names: tuple[str, ...], added: str) -> tuple[DataFrame, T.StructType]:
+    """``given`` without columns of these names, and its schema with those of ``added``."""
+    rows = given.select(*[F.col(f"`{n}`") for n in given.columns if n not in names])
+    return rows, T.StructType([*rows.schema.fields, *T.StructType.fromDDL(added).fields])
+
+
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with lang_pred and score; ``und`` and 0 where text is null or has no letter, or the model knows no language."""
+    """``documents`` with lang_pred and score, which replace columns of these names; ``und`` and 0 where text is null or has no letter, or the model knows no language. Equal rows have equal values."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    names = [f"`{n}`" for n in documents.columns if n not in ("lang_pred", "score")]
+    given, schema = with_columns(documents, ("lang_pred", "score"), "lang_pred string, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -218,8 +230,6 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                     score = np.where(has, p.max(axis=1), 0.0)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*rows.schema.names, "lang_pred", "score"])
 
-    given = documents.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", lang_pred string, score double"
     return given.mapInArrow(run, schema)
 
 

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -31,7 +32,7 @@ from .scratch import Scratch
 WIDTH = 576
 PAD = b"\xff"  # never part of UTF-8
 PNG = b"\x89PNG\r\n\x1a\n"
-MANIFEST = "_archives.json"
+MANIFEST = "_archives"
 SCHEMA = "archive string, offset long, name string, stored binary, error string"
 BATCH = 4 << 20
 
@@ -106,13 +107,14 @@ class ArchiveSource(DataSource):
         return ArchiveReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ArchiveWriter(dict(self.options))
+        return ArchiveWriter(dict(self.options), overwrite)
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Rows (doc_id long, text string) to archives. An archive counts only once its task's message is committed, so lost or repeated tasks leave nothing visible."""
+    """Rows (doc_id long, text string) to archives. Each job lists its archives in a manifest of its own once all its tasks' messages are in, so lost or repeated tasks leave nothing visible; jobs that append add up."""
 
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.overwrite = overwrite
         self.path, self.most = options["path"].rstrip("/"), int(options.get("archive_bytes", 128 << 20))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
@@ -145,7 +147,12 @@ class ArchiveWriter(DataSourceArrowWriter):
         found = sorted(x for m in messages if m is not None for x in m.found)
         system, root = resolve(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
+        if self.overwrite:  # only now, so that a failed job loses nothing
+            kept = {x[0] for x in found}
+            for info in system.get_file_info(fs.FileSelector(root)):
+                if info.base_name not in kept and info.base_name.startswith((MANIFEST, "part-")):
+                    system.delete_file(info.path)
+        with system.open_output_stream(f"{root}/{MANIFEST}-{uuid.uuid4().hex}") as out:
             out.write(json.dumps(found).encode())
 
     def abort(self, messages: list) -> None:
@@ -163,8 +170,13 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         system, root = resolve(self.path)
-        with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-            found = json.loads(f.read())
+        manifests = sorted(x.path for x in system.get_file_info(fs.FileSelector(root)) if x.base_name.startswith(MANIFEST))
+        if not manifests:
+            raise FileNotFoundError(f"no manifest in {self.path}")
+        found = []
+        for path in manifests:
+            with system.open_input_stream(path) as f:
+                found += json.loads(f.read())
         ranges = [ByteRange(f"{root}/{name}", low, min(low + self.split, size)) for name, size, _ in found for low in range(0, size, self.split)]
         return ranges or [ByteRange("", 0, 0)]
 
@@ -233,10 +245,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
 
 
-def write_media(documents: DataFrame, path: str, **options: str) -> None:
+def write_media(documents: DataFrame, path: str, mode: str = "append", **options: str) -> None:
     """Archive the texts of ``documents`` (doc_id, text; null text: empty; null doc_id stays null; repeated rows are members of their own; other columns are ignored). Runs at once."""
     documents.sparkSession.dataSource.register(ArchiveSource)
-    documents.select(documents["doc_id"].cast("long").alias("doc_id"), "text").write.format("media_archive").mode("append").options(**options).save(path)
+    documents.select(documents["doc_id"].cast("long").alias("doc_id"), "text").write.format("media_archive").mode(mode).options(**options).save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -246,7 +258,7 @@ def read_media(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def describe_media(media: DataFrame) -> DataFrame:
-    """Digests and features of decoded members, one row each."""
+    """Digests and features of decoded members, one row each; repeated members give repeated rows, a null doc_id stays null, an empty text is one line of padding. A damaged member that was read without ``strict`` raises here; filter on ``error`` first."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return media.select("name", "stored").mapInArrow(_describe, schema)
 

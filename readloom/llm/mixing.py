@@ -1,7 +1,7 @@
 """Operator 9: mixing sources to target weights (DataFrame functions only).
 
 1. A naive Bayes classifier learns domains from a labelled table: word counts
-   by domain of about ``SAMPLE`` labelled documents each, at most,, over the
+   by domain of about ``SAMPLE`` labelled documents each, at most, over the
    ``VOCABULARY`` most frequent words of that sample. The model is a table of
    that many rows at most, so it is broadcast.
 2. Every document gets a soft membership: the posterior of each domain, from
@@ -11,6 +11,8 @@
    domain, sum of r * tokens * posterior, meet the targets: projected gradient
    descent on the squared relative errors. A step needs one aggregate of as many
    sums as there are domains; the rates themselves never leave the executors.
+   Every ``KEPT`` steps they become a table's column, so that no step's plan
+   holds more than as many others.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from .scratch import Scratch
 
 SAMPLE, VOCABULARY, EVIDENCE = 1500, 4096, 12.0
 STEPS, CLOSE = 40, 1e-5
-DOMAINS = 64
+KEPT = 4
+DOMAINS = 1000  # a column of posteriors each; more raise
 HEADROOM = 1.02  # of the default total, so that documents of soft membership don't fall below one copy
 BLANKS = r"[\x20\x09-\x0D]+"
 TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.18, "es": 0.12}
@@ -88,28 +91,32 @@ def goal_tokens(domains: list[str], present: list[float], targets: Mapping[str,
     return [total * shares[d] if d in shares else (0.0 if d in targets else n) for d, n in zip(domains, present)]
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], total: float | None = None) -> tuple[Column, list[float]]:
-    """The rate of a row of ``members`` as a column expression, and the relative error left in each domain. Runs one aggregate a step."""
-    def sums(rate: Column) -> list[float]:
-        cells = [F.coalesce(F.sum(rate * F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(len(domains))]
-        return [float(x) for x in members.agg(*cells).first()]
+def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], scratch: Scratch, total: float | None = None) -> tuple[DataFrame, list[float]]:
+    """``members`` with their rate, and the relative error left in each domain. Runs one aggregate a step."""
 
-    rate = F.lit(1.0)
+    def sums(rows: DataFrame) -> list[float]:
+        cells = [F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{k}")), F.lit(0.0)) for k in range(len(domains))]
+        return [float(x) for x in rows.agg(*cells).first()]
+
+    rated = members.withColumn("rate", F.lit(1.0))
     if not domains:
-        return rate, []
-    present = sums(rate)
+        return rated, []
+    present = sums(rated)
     goal = goal_tokens(domains, present, targets, total)
     size = [max(g, n, 1.0) for g, n in zip(goal, present)]
     now = present
-    for _ in range(STEPS):
+    for step in range(STEPS):
         errors = [(s - g) / z for s, g, z in zip(now, goal, size)]
         if max(map(abs, errors)) < CLOSE:
             break
         # each error over the domain's own tokens: the largest curvature is 1, and a small domain closes as fast as a large one
         slope = sum((F.col(f"p{k}") * F.lit(e * z / n) for k, (e, z, n) in enumerate(zip(errors, size, present)) if n > 0), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - slope)
-        now = sums(rate)
-    return rate, [(s - g) / z for s, g, z in zip(now, goal, size)]
+        rated = rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - slope))
+        if step % KEPT == KEPT - 1:
+            rated = scratch.table(rated, f"rated-{step}")
+            scratch.drop(f"rated-{step - KEPT}")
+        now = sums(rated)
+    return rated, [(s - g) / z for s, g, z in zip(now, goal, size)]
 
 
 def mix(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float], total: float | None = None, seed: int = 0) -> DataFrame:
@@ -124,28 +131,28 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float],
     scratch = Scratch(documents.sparkSession, "mixing")
     domains, priors, model = fit_domains(documents, labelled, scratch)
     members = scratch.table(memberships(documents, domains, priors, model), "members")
-    rate, errors = fit_rates(members, domains, targets, total)
+    members, errors = fit_rates(members, domains, targets, scratch, total)
     if missed := {d: e for d, e in zip(domains, errors) if abs(e) >= CLOSE}:
         warnings.warn(f"targets not met; relative error left by domain: {missed}", RuntimeWarning, stacklevel=2)
     draw = F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     best = F.greatest(*[F.col(f"p{k}") for k in range(len(domains))]) if len(domains) > 1 else F.lit(1.0)
     domain = F.coalesce(*[F.when(F.col(f"p{k}") == F.col("posterior"), F.lit(d)) for k, d in enumerate(domains)], F.lit(domains[0] if domains else None).cast("string"))
-    out = members.withColumns({"rate": rate, "posterior": best}).withColumns({"domain": domain, "copies": (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long"))})
+    out = members.withColumn("posterior", best).withColumns({"domain": domain, "copies": (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long"))})
     return out.select("doc_id", "h", "tokens", "domain", "posterior", "rate", "copies")
 
 
 def resample(documents: DataFrame, rates: DataFrame) -> DataFrame:
-    """``documents`` with every row as often as its copies say."""
-    once = rates.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("copies").alias("_copies")).dropDuplicates(["_doc", "_h"])
-    tagged = documents.withColumn("_key", F.xxhash64("text"))
-    met = tagged.join(once, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_h")))
-    return met.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*documents.columns)
+    """``documents`` with every row as often as its copies say; rows equal in id and text have equal copies, and a row without rates has none."""
+    once = rates.select("doc_id", "h", "copies").dropDuplicates(["doc_id", "h"]).where("copies > 0")
+    rows = documents.select(F.struct("*").alias("given"), F.col("doc_id").cast("long").alias("of"), F.xxhash64("text").alias("key"))
+    met = rows.join(once, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("h")))
+    return met.select("given", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("given.*")
 
 
-def labelled_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled table of the queries: doc_id and domain of documents that ``labels`` lists, with their language as domain."""
+def labelled_documents(documents: DataFrame, labels: DataFrame, domain: str = "lang") -> DataFrame:
+    """The labelled table of the queries: doc_id and domain of documents that ``labels`` lists, with one of their columns (language, source) as domain."""
     listed = labels.select("doc_id").where("doc_id is not null").distinct()
-    return documents.select("doc_id", F.col("lang").alias("domain")).join(listed, "doc_id", "left_semi")
+    return documents.select("doc_id", F.col(domain).cast("string").alias("domain")).join(listed, "doc_id", "left_semi")
 
 
 def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

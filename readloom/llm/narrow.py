@@ -13,15 +13,15 @@ def _place(key: Column) -> tuple[Column, Column]:
 
 
 def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str) -> DataFrame:
-    """``rows`` with a boolean column: false only where the (64-bit, hashed) key is certainly not wanted.
+    """``rows`` (of an operator's own columns, none of them ``bitmap_*``) with a boolean column: false only where the (64-bit, hashed) key is certainly not wanted.
 
     The wanted keys are folded into a bitmap of fixed size; with very many of
     them it fills up and no longer tells rows apart, which costs time, not
     correctness.
     """
     word, bit = _place(wanted_key)
-    bitmap = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_one")).groupBy("_word").agg(F.bit_or("_one").alias("_bits"))
+    bitmap = wanted.select(word.alias("bitmap_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bitmap_one")).groupBy("bitmap_word").agg(F.bit_or("bitmap_one").alias("bitmap_bits"))
     word, bit = _place(key)
-    tagged = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bitmap), "_word", "left")
-    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
-    return tagged.withColumn(name, hit).drop("_word", "_bit", "_bits")
+    tagged = rows.withColumns({"bitmap_word": word, "bitmap_bit": bit}).join(F.broadcast(bitmap), "bitmap_word", "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("bitmap_bits"), F.col("bitmap_bit")).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    return tagged.withColumn(name, hit).drop("bitmap_word", "bitmap_bit", "bitmap_bits")

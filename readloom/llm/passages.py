@@ -15,9 +15,10 @@
 4. Chains are aligned word by word: gaps are filled by an alignment of their
    words, and a chain that agrees too little is split at its worst gaps. Ends
    are extended, with insertions and deletions, while they agree. What agrees
-   well enough counts as covered, and covered stretches of at least
-   ``MIN_WORDS`` words are repeated passages. The earliest document keeps its
-   passage.
+   well enough counts as covered, and stretches of at least ``MIN_WORDS`` words
+   that one earlier document covers are repeated passages; short pieces that
+   different documents have don't add up to one. The earliest document keeps
+   its passage.
 """
 
 from __future__ import annotations
@@ -310,11 +311,11 @@ def _align(least: int):
                 own, starts, _, _ = words(raw, np.array([0, len(raw)]))
                 parts = pa.array([c["part"] for c in found], pa.string())
                 others, _, _, first = words(*text_buffer(parts))
-                spans = []
+                by_document: dict[tuple, list] = {}
                 for i, c in enumerate(found):
                     for xs, ys, sizes in zip(c["x"], c["y"], c["size"]):
-                        spans += align(own, others[first[i] : first[i + 1]], c["low"], xs, ys, sizes)
-                spans = merge(spans, least)
+                        by_document.setdefault((c["t_doc"], c["t_h"]), []).extend(align(own, others[first[i] : first[i + 1]], c["low"], xs, ys, sizes))
+                spans = merge([span for spans in by_document.values() for span in merge(spans, least)], least)
                 if spans:
                     data, kept, at = raw.tobytes(), [], 0
                     for a, b in spans:
@@ -374,31 +375,31 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     found = scratch.table(per_doc.mapInArrow(_chain, CHAINS), "chains")
     scratch.drop("shared", "several", "first", "others")
 
-    sizes = found.groupBy("t_doc", "t_h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # Tables again: a text that very many chains end in has its blocks dealt out, here and where they meet it.
+    sizes = scratch.table(found.groupBy("t_doc", "t_h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes")
     block = F.pmod(F.xxhash64("doc_id", "h", "part_no"), F.col("blocks"))
-    wanted = found.join(sizes, ["t_doc", "t_h"]).groupBy("t_doc", "t_h", block.alias("block"))
-    wanted = wanted.agg(F.collect_list(F.struct("doc_id", "h", "part_no", "low", "high")).alias("wanted"))
+    places = found.select("t_doc", "t_h", "doc_id", "h", "part_no", "low", "high").join(sizes, ["t_doc", "t_h"])
+    places = scratch.table(places.withColumn("block", block).drop("blocks"), "places")
+    wanted = places.groupBy("t_doc", "t_h", "block").agg(F.collect_list(F.struct("doc_id", "h", "part_no", "low", "high")).alias("wanted"))
+    wanted = scratch.table(wanted, "wanted")
     ends = found.select("doc_id", "h").union(found.select("t_doc", "t_h")).distinct()
     texts = scratch.table(marked(plain, _key(), ends, _key(), "hit").where("hit").select("doc_id", "h", "text").join(ends, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]), "texts")
     parts = texts.select(F.col("doc_id").alias("t_doc"), F.col("h").alias("t_h"), "text").join(wanted, ["t_doc", "t_h"]).select("text", "wanted")
-    parts = parts.mapInArrow(_cut_out, "doc_id long, h long, part_no int, part string")
-    whole = found.join(parts, ["doc_id", "h", "part_no"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("low", "x", "y", "size", "part")).alias("chains"))
-    out = scratch.table(texts.join(whole, ["doc_id", "h"]).mapInArrow(_align(min_words), SPANS), "spans")
-    scratch.drop("chains", "texts")
-    return out
+    parts = scratch.table(parts.mapInArrow(_cut_out, "doc_id long, h long, part_no int, part string"), "parts")
+    whole = found.join(parts, ["doc_id", "h", "part_no"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("t_doc", "t_h", "low", "x", "y", "size", "part")).alias("chains"))
+    return scratch.last(texts.join(whole, ["doc_id", "h"]).mapInArrow(_align(min_words), SPANS), "spans")
 
 
 def without_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``documents`` with the same columns, texts without repeated passages, n_chars (if there) set anew; no row goes."""
     spans = repeated_passages(documents, min_words).select("doc_id", "h", "kept_text")
-    names = documents.columns
-    tagged = documents.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_h": F.xxhash64("text")})
-    tagged = marked(tagged, F.xxhash64("_doc", "_h"), spans, _key(), "_hit")
-    changes = spans.select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("kept_text").alias("_kept"))
-    changed = tagged.where("_hit").join(changes, ["_doc", "_h"], "left").withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(documents.schema["n_chars"].dataType)))
-    return tagged.where(~F.col("_hit")).select(*names).unionByName(changed.select(*names))
+    rows = documents.select(F.struct("*").alias("given"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("h"))
+    rows = marked(rows, _key(), spans, _key(), "hit")
+    changed = rows.where("hit").join(spans, ["doc_id", "h"], "left")
+    found, text = F.col("kept_text").isNotNull(), F.coalesce("kept_text", "given.text")
+    new = {"text": text, "n_chars": F.when(found, F.length(text)).otherwise(F.col("given.n_chars")).cast(documents.schema["n_chars"].dataType)} if "n_chars" in documents.columns else {"text": text}
+    changed = changed.select(*[(new[n] if n in new else F.col(f"given.`{n}`")).alias(n) for n in documents.columns])
+    return rows.where(~F.col("hit")).select("given.*").unionByName(changed)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import row_groups, shingles, text_buffer, words
-from .language import remainder
+from .language import remainder, with_columns
+from .scratch import Scratch
 
 WORDS = 64
 SAMPLE = 4000  # labelled documents learned from, at most
 PASSAGES = 120_000  # and passages of them
+OF_ONE = 1000  # passages of a document that teach, at most, evenly spread over it; scores take all
 HIDDEN, ATTENTION, STEPS, BAGS = 16, 8, 600, 256
 THRESHOLD = 0.3
 GROUP = 4 << 20
@@ -150,35 +152,38 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_groups(batch, "text", GROUP):
             x, parts = encode(rows)
             ends = np.cumsum(parts)
-            cells = [x[a:b].astype("<f4").tobytes() for a, b in zip((ends - parts).tolist(), ends.tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column("place"), rows.column("quality"), pa.array(cells, pa.binary())], names=["place", "quality", "bag"])
+            bags = [x[a:b] if b - a <= OF_ONE else x[np.linspace(a, b - 1, OF_ONE).astype(np.int64)] for a, b in zip((ends - parts).tolist(), ends.tolist())]
+            columns = [rows.column("place"), rows.column("doc_id"), rows.column("quality"), pa.array([len(b) for b in bags], pa.int32()), pa.array([b.astype("<f4").tobytes() for b in bags], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["place", "doc_id", "quality", "parts", "bag"])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network from ``labels`` (doc_id, quality 0 or 1) and the texts of ``documents``; none if no label is usable. Runs at once.
 
-    Of repeated labels the least counts; other values and nulls teach nothing.
-    At most ``sample`` labelled documents, chosen by a hash of their id, and
-    ``PASSAGES`` passages reach the driver.
+    Of repeated labels the least counts, and of rows with one id the one whose
+    text has the least hash; other labels and nulls teach nothing. At most
+    ``sample`` labelled documents, chosen by a hash of their id, and
+    ``PASSAGES`` passages reach the driver, which counts them before it fetches
+    any; the documents that come last in the order of that hash go without.
     """
     usable = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = usable.withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample)
-    bags = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "quality", "text")
-    rows = sorted(((x["place"], bytes(x["bag"]), x["quality"]) for x in bags.mapInArrow(_bags, "place long, quality int, bag binary").collect()))
-    got, targets, total = [], [], 0
-    for _, bag, quality in rows:
-        x = np.frombuffer(bag, "<f4").reshape(-1, FEATURES)
-        if total + len(x) <= PASSAGES or not got:
-            got.append(x.astype(np.float64))
-            targets.append(quality)
-            total += len(x)
-    return fit(got, np.array(targets, float)) if got else None
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("place", "doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    scratch = Scratch(documents.sparkSession, "quality")
+    bags = scratch.table(texts.mapInArrow(_bags, "place long, doc_id long, quality int, parts int, bag binary"), "bags")
+    sizes = bags.select("place", "doc_id", "parts").orderBy("place", "doc_id").collect()
+    upto = np.cumsum([x["parts"] for x in sizes])
+    fit_in = int(np.searchsorted(upto, PASSAGES, "right"))
+    rows = bags.where(F.col("place") <= sizes[fit_in - 1]["place"]).orderBy("place", "doc_id").collect()[:fit_in] if fit_in else []
+    scratch.drop("bags")
+    got = [np.frombuffer(bytes(x["bag"]), "<f4").reshape(-1, FEATURES).astype(np.float64) for x in rows]
+    return fit(got, np.array([x["quality"] for x in rows], float)) if got else None
 
 
 def score(documents: DataFrame, net: Network | None) -> DataFrame:
-    """``documents`` with score (0 to 1) and predicted (score >= 0.3); null text counts as empty; without a network all score 0.5."""
+    """``documents`` with score (0 to 1) and predicted (score >= 0.3), which replace columns of these names; null text counts as empty, equal texts have equal scores; without a network all score 0.5."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
-    given = documents.select(*[f"`{n}`" for n in documents.columns if n not in ("score", "predicted")])
+    given, schema = with_columns(documents, ("score", "predicted"), "score double, predicted int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +191,6 @@ def score(documents: DataFrame, net: Network | None) -> DataFrame:
                 s = shared.value.scores(*encode(rows)) if shared.value is not None else np.full(rows.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*rows.schema.names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", score double, predicted int"
     return given.mapInArrow(run, schema)
 
 

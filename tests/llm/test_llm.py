@@ -31,7 +31,18 @@ def documents(spark, texts, first=0):
 
 def clashing(df):
     """Extra columns with names that operators use themselves."""
-    return df.withColumns({n: F.lit(1) for n in ("row", "h", "node", "value", "_hit", "_doc", "_h", "word", "place", "score", "copies", "_copy", "label", "n")})
+    return df.withColumns({n: F.concat(F.lit(n), F.lit(i)) if i % 2 else F.lit(i) for i, n in enumerate(CLASHES)})
+
+
+CLASHES = (
+    "row", "h", "node", "value", "_hit", "_doc", "_h", "word", "place", "score", "copies", "_copy", "label", "n", "doc", "hit", "stays", "_stays", "_n", "given", "of", "key",
+    "_key", "bitmap_word", "bitmap_bit", "bitmap_bits", "_word", "_bit", "kept_text", "spans", "predicted", "lang_pred", "rate", "domain", "draw", "first", "number", "state",
+)
+
+
+def same_extras(rows, but=()):
+    """Whether rows still have what ``clashing`` gave them."""
+    return all(r[n] == (f"{n}{i}" if i % 2 else i) for r in rows for i, n in enumerate(CLASHES) if n not in but)
 
 
 def vocabulary(rng, n=400):
@@ -57,6 +68,22 @@ def test_top_k_is_exact_with_ties(spark):
     assert bitsliced.top_k(table.where("false"), table.where("false")).count() == 0
 
 
+def test_top_k_of_wide_values_and_repeated_rows(spark):
+    rows = [(0, [1.0, 1.0]), (1, [300000.0, 1.0]), (2, [-3.0e6, 7.5]), (3, [2.0**40, -(2.0**40)]), (50, [1.0, None]), (50, [2.0, -1.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5]), (100, [-1.0, 0.25])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = Counter(tuple(r) for r in bitsliced.top_k(table, table.where("vec_id % 50 = 0"), 3).collect())
+    known = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if None not in v]
+    wanted = Counter()
+    for q, v in known:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in known if i != q)[:3]
+            wanted.update((q, r + 1, i, -s) for r, (s, i) in enumerate(best))
+    assert got == wanted and any(k[:3] == (0, 1, 1) or k[2] == 1 for k in got)
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        bitsliced.top_k(huge, huge).collect()
+
+
 def test_blocks_add_and_select_like_integers():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -65,7 +92,7 @@ def test_blocks_add_and_select_like_integers():
         qid, vid, score = bitsliced.search_block(np.arange(150), low, slices, np.array([-1, -2, 5]), q, 9)
         for k, name in enumerate((-1, -2, 5)):
             want = sorted((-int(s), i) for i, s in enumerate(values @ q[k]) if i != name)[:9]
-            assert sorted(zip((-score[qid == name]).tolist(), vid[qid == name].tolist())) == want
+            assert sorted(zip((-score[qid == k]).tolist(), vid[qid == k].tolist())) == want
 
 
 # --- 2 -----------------------------------------------------------------------
@@ -132,13 +159,41 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, width, percent, l
     assert [got[i]["first"] for i in range(len(texts))] == [roots[i] == i for i in range(len(texts))]
 
 
+def edited(rng, vocab, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(w)), rng.random()
+        w[at : at + 1] = [rng.choice(vocab)] if kind < 0.6 else [] if kind < 0.8 else [w[at], rng.choice(vocab)]
+    return w
+
+
+def test_links_inside_long_lists(spark):
+    """Lists of far more than ``LIST`` members, near copies on both sides of the threshold, hot passages that are combined: all links are found."""
+    rng = random.Random(77)
+    vocab = vocabulary(rng, 3000)
+    body = lambda n: [rng.choice(vocab) for _ in range(n)]
+    one, two, line = body(120), body(100), body(12)
+    texts = [" ".join(edited(rng, vocab, one, rng.randint(1, 9))) for _ in range(150)]
+    families = [edited(rng, vocab, one, 9) for _ in range(25)]  # apart from the others, in pairs alike
+    texts += [" ".join(edited(rng, vocab, f, e)) for f in families for e in (0, 2)]
+    texts += [" ".join(two + line * rng.randint(0, 2) + body(rng.randint(0, 8))) for _ in range(60)]
+    texts += [" ".join(one + two), " ".join(one[:70] + two), " ".join(line), " ".join(line + one[:40]), " ".join(one + line)] * 2
+    rng.shuffle(texts)
+    for width, percent in ((3, 85), (5, 80)):
+        _, roots = brute_components(texts, width, percent)
+        assert len(set(roots)) > 40
+        got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(documents(spark, texts), width, percent).collect()}
+        assert [got[i] for i in range(len(texts))] == roots
+
+
 def test_one_row_of_each_group_stays(spark):
     texts = near_copies(5, 8)
     docs = documents(spark, texts)
     docs = docs.unionByName(docs.where("doc_id < 20"))  # repeated rows
     docs = docs.unionByName(spark.createDataFrame([(None, "an id is missing here and now", None, None, None)] * 2, DOCS))
     _, roots = brute_components(texts, 5, 80)
-    kept = near_dup.without_near_duplicates(docs).collect()
+    kept = near_dup.without_near_duplicates(clashing(docs)).collect()
+    assert same_extras(kept)
     counts = Counter(r["doc_id"] for r in kept)
     blank = {i for i, t in enumerate(texts) if not shingle_set(t, 5)}
     assert {i for i in counts if i is not None} == {i for i, r in enumerate(roots) if i == r}
@@ -284,6 +339,10 @@ def test_media_round_trip(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert media.decode_png(media.encode_png(payload)) == payload
     assert got[11]["media_sha256"] == got[12]["media_sha256"] and got[11]["feature"] == got[12]["feature"]
+    media.write_media(documents(spark, ["more", "more"]), path)  # a second job adds to the first
+    assert media.read_media(spark, path).count() == len(ODD) + 4
+    media.write_media(documents(spark, ["other"]), path, mode="overwrite")
+    assert [r["n_bytes"] for r in media.describe_media(media.read_media(spark, path)).collect()] == [5]
     empty = Scratch(spark, "test").path("none")
     media.write_media(documents(spark, []), empty)
     assert media.read_media(spark, empty).count() == 0
@@ -322,7 +381,9 @@ def test_planted_passages(spark):
     assert set(got) == {keeper + 1, keeper + 2, keeper + 5}
     assert got[keeper + 1] == [(40, 120)] and got[keeper + 5] == [(0, 140)]
     assert got[keeper + 2][0][0] == 0 and abs(got[keeper + 2][0][1] - 79) <= 1
-    after = {r["doc_id"]: r for r in passages.without_passages(docs).collect()}
+    rows = passages.without_passages(docs).collect()
+    assert same_extras(rows)
+    after = {r["doc_id"]: r for r in rows}
     assert len(after) == len(texts) and after[keeper]["text"] == texts[keeper] and after[keeper + 5]["text"] == ""
     assert after[keeper + 1]["n_chars"] == len(after[keeper + 1]["text"]) and after[1]["text"] is None
     assert passages.repeated_passages(docs.where("false")).count() == 0
@@ -374,6 +435,37 @@ def test_templates_with_other_words_in_their_slots_stay(spark):
     assert spans_of(spark, texts) == {41: [(0, 60)]}
 
 
+def test_short_pieces_of_several_documents_are_no_passage(spark):
+    rng, texts = random.Random(24), []
+    pieces = [fresh(rng, 20) for _ in range(6)]
+    texts += [fresh(rng, 30) + p + fresh(rng, 30) for p in pieces] + [fresh(rng, 10) + sum(pieces, []) + fresh(rng, 10)]
+    assert spans_of(spark, texts) == {}
+
+
+def test_exact_passages_against_brute_force(spark):
+    """Whatever an earlier document has in a row of 50 words or more is found, and what is found agrees with one earlier document."""
+    rng, texts = random.Random(25), []
+    pool = [fresh(rng, rng.randint(30, 90)) for _ in range(12)]
+    for _ in range(40):
+        texts.append([w for _ in range(rng.randint(1, 4)) for w in (rng.choice(pool) if rng.random() < 0.5 else fresh(rng, rng.randint(5, 60)))])
+    got, number = spans_of(spark, texts), {}
+    coded = [np.array([number.setdefault(w, len(number)) for w in t]) for t in texts]
+    for i, own in enumerate(coded):
+        must = np.zeros(len(own), bool)
+        for other in coded[:i]:
+            runs = np.zeros(len(other) + 1, np.int64)
+            for at, w in enumerate(own):
+                runs[1:] = np.where(other == w, runs[:-1] + 1, 0)
+                n = int(runs.max())
+                if n >= passages.MIN_WORDS:
+                    must[at + 1 - n : at + 1] = True
+        found = np.zeros(len(own), bool)
+        for a, b in got.get(i, []):
+            found[a:b] = True
+            assert max(passages.agreeing(own[a:b], other) for other in coded[:i]) >= passages.AGREE * min(b - a, passages.MIN_WORDS)
+        assert (found | ~must).all(), i
+
+
 def test_chains_are_collinear_and_best():
     rng = random.Random(4)
     for _ in range(50):
@@ -435,6 +527,64 @@ def test_language_of_unseen_texts(spark):
     blank = language.train(docs.where("false"))
     assert {r["lang_pred"] for r in language.identify(docs, blank).collect()} == {"und"}
     assert language.identify(docs.where("false"), model).count() == 0
+    assert same_extras(language.identify(clashing(docs), model).collect(), ("score", "lang_pred"))
+
+
+def test_grams_against_plain_counts():
+    texts = [t or "" for t in ODD] + ["Ab, c", "x1y  ÄÖ", "İx", "...", "a" * 50]
+    places, counts, has = language.grams(texts)
+    at, of = 0, {}
+    for t, n, letter in zip(texts, counts.tolist(), has.tolist()):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t)
+        low = re.sub(" +", " ", low).lstrip()
+        wanted = Counter(low[i : i + k] for i in range(len(low)) for k in (1, 2, 3) if i + k <= len(low))
+        assert letter == any(c.isalpha() for c in t) and n == sum(wanted.values()), t
+        got = Counter(places[at : at + n].tolist())
+        assert sorted(got.values()) == sorted(wanted.values()), t  # hashed places, no two grams of so short a text in one
+        for gram in set(wanted):
+            of.setdefault(gram, language.grams([gram])[0])
+        at += n
+
+
+def test_regression_is_plain_ftrl():
+    rng = np.random.default_rng(3)
+    rows = [(np.sort(rng.choice(30, 6, replace=False)), rng.random(6)) for _ in range(40)]
+    labels = rng.integers(0, 3, 40)
+    z, n = np.zeros((3, 30)), np.zeros((3, 30))
+
+    def weight(c, j):
+        if abs(z[c, j]) <= language.L1:
+            return 0.0
+        return -(z[c, j] - np.sign(z[c, j]) * language.L1) / ((language.BETA + n[c, j] ** 0.5) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(40):
+            at, x = rows[i]
+            w = {(c, j): weight(c, j) for c in range(3) for j in at}
+            logits = np.array([sum(w[c, j] * v for j, v in zip(at, x)) for c in range(3)])
+            p = np.exp(logits) / np.exp(logits).sum()
+            for c in range(3):
+                for j, v in zip(at, x):
+                    g = (p[c] - (labels[i] == c)) * v
+                    s = ((n[c, j] + g * g) ** 0.5 - n[c, j] ** 0.5) / language.ALPHA
+                    z[c, j] += g - s * w[c, j]
+                    n[c, j] += g * g
+    plain = np.array([[weight(c, j) for j in range(30)] for c in range(3)])
+    assert np.allclose(language.ftrl(rows, labels, 3, 30, epochs=2), plain)
+
+
+def test_repeated_ids_teach_once(spark, monkeypatch):
+    docs = multilingual(spark, 60)
+    again = docs.unionByName(docs.where("doc_id = 1")).unionByName(docs.where("doc_id = 1"))
+    learned, plain = [], language.ftrl
+    monkeypatch.setattr(language, "ftrl", lambda rows, *a: learned.append(len(rows)) or plain(rows, *a))
+    assert language.train(docs).langs == language.train(again).langs == ["de", "en", "fr"]
+    assert learned[0] == learned[1] <= 60
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    other = again.unionByName(docs.where("doc_id = 2").withColumn("text", F.lit("another text of that id")))
+    a, b = quality.train(again, labels), quality.train(docs, labels)
+    assert all(np.allclose(a.p[k], b.p[k]) for k in a.p) and quality.train(other, labels) is not None
 
 
 def test_temperature_calibrates():
@@ -444,6 +594,31 @@ def test_temperature_calibrates():
     assert abs(language.fit_temperature(logits * 5, labels) - 5) < 0.6
 
 
+def plain_descent(n, p, goal):
+    """The same projected gradient descent, with NumPy."""
+    rate, present = np.ones(len(n)), (n[:, None] * p).sum(0)
+    size = np.maximum(np.maximum(goal, present), 1.0)
+    for _ in range(mixing.STEPS):
+        error = ((rate * n)[:, None] * p).sum(0) - goal
+        if np.abs(error / size).max() < mixing.CLOSE:
+            break
+        rate = np.maximum(0, rate - (p * error / present).sum(1))
+    return rate
+
+
+def test_descent_with_rates_at_zero(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.3] * 4, 300)
+    n = rng.integers(0, 200, 300)
+    rows = [(int(i), int(i), int(n[i]), *map(float, p[i])) for i in range(300)]
+    members = spark.createDataFrame(rows, "doc_id long, h long, tokens long, p0 double, p1 double, p2 double, p3 double").coalesce(1)
+    targets = {"a": 0.9, "b": 0.1, "c": 0.0, "d": 0.0}
+    rated, _ = mixing.fit_rates(members, list("abcd"), targets, Scratch(spark, "test"), 9000.0)
+    found = {r["doc_id"]: r["rate"] for r in rated.collect()}
+    wanted = plain_descent(n, p, np.array([8100.0, 900.0, 0.0, 0.0]))
+    assert np.allclose([found[i] for i in range(300)], wanted, atol=1e-9) and (wanted == 0).any()
+
+
 def test_rates_meet_targets(spark):
     docs = multilingual(spark)
     labelled = docs.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("domain"))
@@ -452,18 +627,19 @@ def test_rates_meet_targets(spark):
     assert len(rows) == docs.count() and all(r["rate"] >= 0 for r in rows)
     scratch = Scratch(spark, "test")
     domains, priors, model = mixing.fit_domains(docs, labelled, scratch)
-    members = mixing.memberships(docs, domains, priors, model)
-    rate, errors = mixing.fit_rates(members, domains, {"en": 0.5, "de": 0.3, "fr": 0.2}, 20000.0)
+    members = scratch.table(mixing.memberships(docs, domains, priors, model).coalesce(1), "members")
+    targets = {"en": 0.5, "de": 0.3, "fr": 0.2}
+    rated, errors = mixing.fit_rates(members, domains, targets, scratch, 20000.0)
     assert max(map(abs, errors)) < 1e-3
-    # the same descent in plain Python
-    data = [(r["tokens"], np.array([r[f"p{k}"] for k in range(3)])) for r in members.collect()]
-    assert all(abs(p.sum() - 1) < 1e-9 for _, p in data)
-    totals = sum(r["rate"] * r["tokens"] * next(p for t, p in [(r["tokens"], np.ones(1))]) for r in rows)
-    assert abs(totals[0] - 20000) < 20
+    data = [(r["tokens"], np.array([r[f"p{k}"] for k in range(3)]), r["rate"]) for r in rated.collect()]
+    assert all(abs(p.sum() - 1) < 1e-9 for _, p, _ in data)
+    n, p, found = (np.array(x) for x in zip(*data))
+    assert np.allclose(found, plain_descent(n, p, np.array([20000.0 * targets[d] for d in domains]))) and (found == 0).sum() == 0
+    assert abs((found * n).sum() - 20000) < 20
     tokens = {r["doc_id"]: r["tokens"] for r in rows}
     assert tokens[150] == 0 and tokens[0] == 40
-    kept = mixing.resample(docs, rates)
-    assert kept.columns == docs.columns and kept.count() == sum(r["copies"] for r in rows)
+    kept = mixing.resample(clashing(docs), rates)
+    assert kept.columns == clashing(docs).columns and same_extras(kept.collect()) and kept.count() == sum(r["copies"] for r in rows)
     same = mixing.mix(docs, labelled.where("false"), {"en": 1.0}).select("rate").distinct().collect()
     assert [r[0] for r in same] == [1.0]
     assert mixing.mix(docs.where("false"), labelled, {"en": 1.0}).count() == 0
@@ -472,14 +648,19 @@ def test_rates_meet_targets(spark):
 def test_rates_of_a_rare_domain_meet_its_target(spark):
     rows = [(i, 100, *((0.001, 0.999) if i % 100 == 0 else (0.999, 0.001))) for i in range(1000)]
     members = spark.createDataFrame(rows, "doc_id long, tokens long, p0 double, p1 double").coalesce(1)
-    rate, errors = mixing.fit_rates(members, ["en", "es"], {"en": 0.5, "es": 0.5})
+    _, errors = mixing.fit_rates(members, ["en", "es"], {"en": 0.5, "es": 0.5}, Scratch(spark, "test"))
     assert max(map(abs, errors)) < mixing.CLOSE
 
 
-def test_too_many_domains_raise(spark):
-    labelled = spark.range(65).selectExpr("id as doc_id", "concat('d', id) as domain")
-    with pytest.raises(ValueError, match="64 domains"):
-        mixing.fit_domains(documents(spark, ["a"]), labelled, Scratch(spark, "test"))
+def test_many_domains_and_too_many(spark, monkeypatch):
+    rows = [(i, f"w{i % 70} w{i % 70} common", "en", f"s{i % 70}", 3) for i in range(280)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labelled = mixing.labelled_documents(docs, docs.select("doc_id"), "source")
+    domains, priors, model = mixing.fit_domains(docs, labelled, Scratch(spark, "test"))
+    assert domains == sorted({r[3] for r in rows}) and abs(sum(priors) - 1) < 1e-9
+    monkeypatch.setattr(mixing, "DOMAINS", 69)
+    with pytest.raises(ValueError, match="69 domains"):
+        mixing.fit_domains(docs, labelled, Scratch(spark, "test"))
 
 
 def test_no_listed_domain_shrinks_by_default():
@@ -502,9 +683,49 @@ def test_quality_of_unseen_texts(spark):
     assert sum(got[i]["predicted"] != (i % 4 > 0) for i in range(0, 200, 5)) <= 1
     assert all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == 200 + len(ODD)
     assert quality.train(docs, table.where("false")) is None
+    assert same_extras(quality.score(clashing(docs), net).collect(), ("score", "predicted"))
     assert {r["score"] for r in quality.score(docs, None).collect()} == {0.5}
 
 
+def test_passage_features_against_plain_counts():
+    texts = [*ODD, "one two two one two two THREE 4!  " * 40, "Ünï cödé | bar. " * 30]
+    x, parts = quality.encode(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]))
+    kinds, at = quality._CLASS, 0
+    for t, n in zip(texts, parts.tolist()):
+        raw = (t or "").encode()
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+        words = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw[a:b]) for a, b in spans]
+        assert n == max(1, -(-len(words) // quality.WORDS))
+        for k in range(n):
+            mine = range(k * quality.WORDS, min((k + 1) * quality.WORDS, len(words)))
+            begin = 0 if k == 0 else spans[mine[0]][0]
+            end = spans[mine[-1] + 1][0] if mine and mine[-1] + 1 < len(words) else len(raw)
+            pairs = Counter((kinds[a], kinds[b]) for a, b in zip(raw[begin:end], raw[begin + 1 : end]))
+            row = np.zeros(quality.FEATURES)
+            for (a, b), c in pairs.items():
+                row[a * quality.CLASSES + b] = c / sum(pairs.values())
+            if mine:
+                sizes = [spans[i][1] - spans[i][0] for i in mine]
+                runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+                row[-6], row[-5] = np.mean(sizes) / 10, min(np.std(sizes) / 10, 5)
+                row[-4] = sum(words[i] in [words[j] for j in mine if j < i] for i in mine) / len(mine)
+                row[-3] = sum(words[i] in words[:i] for i in mine) / len(mine)
+                row[-2] = sum(i < len(runs) and runs[i] in runs[:i] for i in mine) / len(mine)
+            row[-1] = np.log1p(len(words)) / 10
+            assert np.allclose(x[at], row, atol=1e-5), (t, k, np.flatnonzero(~np.isclose(x[at], row, atol=1e-5)))
+            at += 1
+
+
+def test_passages_are_bounded_before_they_are_fetched(spark, monkeypatch):
+    docs = documents(spark, [spoken("en", random.Random(i), 64 * 9) for i in range(30)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "PASSAGES", 100)
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: taken.append((len(bags), sum(map(len, bags)), len(y))))
+    quality.train(docs, labels)
+    assert taken == [(11, 99, 11)]
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net, x, parts = quality.Network(6), rng.normal(size=(9, 6)), np.array([2, 4, 3])
@@ -540,5 +761,15 @@ def test_pipeline_stages_follow_one_another(spark, tmp_path):
         assert not any(60 <= i < 80 for i in ids), name
         if name != "quality_classifier":
             assert 80 not in ids
+    kept = corpus_pipeline.keep_quality(spark, clashing(docs), str(tmp_path))
+    assert kept.columns == clashing(docs).columns and same_extras(kept.collect())
     last = corpus_pipeline.run(spark, str(tmp_path))
     assert set(last.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and last.count() >= now.count()
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
