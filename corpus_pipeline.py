@@ -15,29 +15,39 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from labels outside the held-out fold."""
+    """Documents that the quality classifier accepts, with all their columns; it learns from labels outside the held-out fold.
+
+    Null texts are scored as empty ones; equal texts have one fate; without a usable label all documents stay.
+    """
     learn = _labels(spark, sf_dir).where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "quality")
-    return quality.score(docs, quality.train(docs, learn)).where("predicted = 1").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("given"), "text")
+    return quality.score(rows, quality.train(docs, learn)).where("predicted = 1").select("given.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are alike to 0.8 or more."""
+    """One document of each group whose five-word shingles are alike to 0.8 or more, the one with the least doc_id.
+
+    Texts without words (null, empty, blank) all stay; rows equal in id and text are one document; a null id is the greatest.
+    """
     return near_dup.without_near_duplicates(docs, width=5, percent=80)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier document has."""
+    """All documents, without passages that an earlier document (by doc_id) has; a text may become empty, null texts stay null."""
     return passages.without_passages(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say; no domain is cut below what there is."""
+    """Documents as often as their rates say; no domain is cut below what there is.
+
+    Texts without words have no tokens and are mixed by the labels' shares; without usable labels every document stays once.
+    """
     labelled = mixing.labelled_documents(docs, _labels(spark, sf_dir))
     return mixing.resample(docs, mixing.mix(docs, labelled, mixing.TARGETS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in sequences of at most 4096 tokens."""
+    """Pieces and their places in sequences of at most 4096 tokens; a null or empty text is its end token alone, repeated rows are packed each."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
