@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,18 @@ from .operators import depth, flagstat, ordering, records, regions
 from .sources import bam, store, text
 
 
-def _session() -> SparkSession:
-    return SparkSession.builder.appName("readloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+def _session(options: dict[str, str]) -> SparkSession:
+    """A session with these options; core ones (of spills) hold only if it starts here."""
+    return SparkSession.builder.appName("readloom").config("spark.sql.session.timeZone", "UTC").config(map=options).getOrCreate()
 
 
 def _regions(spark: SparkSession, bed: str | None, query: list[str]) -> DataFrame | None:
-    """Both kinds of intervals; for a chr in both, those of ``query``."""
-    given = text.parse_regions(spark.createDataFrame([(i, q) for i, q in enumerate(query)], "region_id int, value string")) if query else None
-    listed = text.read_bed(spark, bed) if bed else None
+    """Both kinds of intervals, numbered apart (those of ``query`` first); for a chr in both, those of ``query``, which are ``chr:start-end`` or as lines of a BED file."""
+    numbered = list(enumerate(query))
+    kinds = [(text.parse_bed, [(i, q) for i, q in numbered if len(q.split()) >= 3]), (text.parse_regions, [(i, q) for i, q in numbered if len(q.split()) < 3])]
+    parsed = [parse(spark.createDataFrame(rows, "region_id int, value string")) for parse, rows in kinds if rows]
+    given = reduce(DataFrame.unionByName, parsed) if parsed else None
+    listed = text.read_bed(spark, bed).withColumn("region_id", F.col("region_id") + len(query)) if bed else None
     if given is not None and listed is not None:
         return regions.override(listed, given)
     return given if given is not None else listed
@@ -64,11 +69,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     o = parser().parse_args(argv)
-    spark = _session()
+    spark = _session(ordering.spill_options(o.sort_temp_mode) if o.verb == "convert" else {})
     if o.verb == "convert":
-        for key, value in ordering.spill_options(o.sort_temp_mode).items():
-            if spark.conf.isModifiable(key):
-                spark.conf.set(key, value)
         rows = bam.read_bam(spark, o.source)
         by = ordering.KEYS[o.sort]() if o.sort and not o.index_sort else None
         store.write(rows, bam.ref_seqs(spark, o.source), bam.read_header(o.source)[0], o.target, o.codec, [*by, F.col("ordinal")] if by else None)
@@ -85,11 +87,11 @@ def main(argv: list[str] | None = None) -> None:
         runs = depth.segments(depth.spans(rows, o.filtered, o.mapq), refs)
         chosen = _regions(spark, o.bed, o.query)
         if chosen is not None:
-            runs = depth.clip_to_regions(runs, chosen)
+            runs = depth.clip_to_regions(runs, chosen, refs)
         if o.out:
-            depth.write_bed_gz(runs.orderBy("chr", "start"), o.out)
+            depth.write_bed_gz(depth.in_header_order(runs, refs, "start"), o.out)
         else:
-            for r in depth.text_lines(depth.per_base(runs).orderBy("chr", "coord")).toLocalIterator():
+            for r in depth.text_lines(depth.in_header_order(depth.per_base(runs), refs, "coord")).toLocalIterator():
                 print(r["value"])
     elif o.verb == "header":
         print(header.first()[0], end="")

@@ -9,12 +9,18 @@ taken within bins of a reference and shifted by the totals of the bins before
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.cigar import span
 from ..functions.flags import has
+from ..sources.shared import resolve
+from .regions import clip
 
 BIN = 1 << 14
 
@@ -23,15 +29,15 @@ def spans(alignments: DataFrame, filtered: str = "exclude", min_mapq: int = 0) -
     """ref_id, start, end (half open) that reads cover.
 
     ``exclude`` leaves out reads that fail the flag mask; ``anchor`` lets them
-    (and reads that cover nothing) count at their first base. Reads without a
-    place never count.
+    count at their first base. Reads without a place and reads that cover
+    nothing never count.
     """
     covered = F.col("span") if "span" in alignments.columns else span(F.col("cigar"))
-    placed = alignments.where((F.col("ref_id") >= 0) & (F.col("pos") >= 0) & (F.col("mapq") >= min_mapq))
+    placed = alignments.where((F.col("ref_id") >= 0) & (F.col("pos") >= 0) & (F.col("mapq") >= min_mapq) & (covered > 0))
     if filtered == "exclude":
-        rows = placed.where(~has(S.DEPTH_MASK)).select("ref_id", F.col("pos").cast("long").alias("start"), covered.cast("long").alias("n")).where("n > 0")
+        rows = placed.where(~has(S.DEPTH_MASK)).select("ref_id", F.col("pos").cast("long").alias("start"), covered.cast("long").alias("n"))
     elif filtered == "anchor":
-        n = F.when(has(S.DEPTH_MASK), 1).otherwise(F.greatest(covered, F.lit(1)))
+        n = F.when(has(S.DEPTH_MASK), 1).otherwise(covered)
         rows = placed.select("ref_id", F.col("pos").cast("long").alias("start"), n.cast("long").alias("n"))
     else:
         raise ValueError(f"filtered: exclude or anchor, not {filtered!r}")
@@ -60,11 +66,22 @@ def per_base(runs: DataFrame) -> DataFrame:
     return runs.where("depth > 0").select("chr", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("coord"), "depth")
 
 
-def clip_to_regions(runs: DataFrame, regions: DataFrame) -> DataFrame:
-    """region_id, chr, start, end, depth: the runs within each region. Overlapping regions repeat rows; unknown and empty regions have none."""
-    r = regions.select("region_id", F.col("chr").alias("r_chr"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    hit = (F.col("chr") == F.col("r_chr")) & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))
-    return runs.join(r, hit).select("region_id", "chr", F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), "depth").where("start < end")
+def clip_to_regions(runs: DataFrame, given: DataFrame, ref_seqs: DataFrame, bin_size: int = BIN) -> DataFrame:
+    """region_id, chr, start, end, depth: the runs within each region. Overlapping regions repeat rows; unknown and empty regions have none.
+
+    Both sides are joined on the bins that they touch, and a pair counts in the
+    first bin that both touch. Runs don't overlap, so they touch hardly more
+    bins than there are.
+    """
+
+    def bins(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / bin_size), F.floor((F.col(high) - 1) / bin_size)))
+
+    r = clip(given, ref_seqs).select("region_id", "chr", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    r = r.withColumn("bin", bins("r_start", "r_end"))
+    met = runs.select("chr", "start", "end", "depth").withColumn("bin", bins("start", "end")).join(r, ["chr", "bin"])
+    inside = met.select("region_id", "chr", F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), "depth", "bin")
+    return inside.where((F.col("start") < F.col("end")) & (F.col("bin") == F.floor(F.col("start") / bin_size))).drop("bin")
 
 
 def text_lines(bases: DataFrame) -> DataFrame:
@@ -72,5 +89,22 @@ def text_lines(bases: DataFrame) -> DataFrame:
     return bases.select(F.concat_ws("\t", "chr", F.col("coord").cast("string"), F.col("depth").cast("string")).alias("value"))
 
 
+def in_header_order(rows: DataFrame, ref_seqs: DataFrame, then: str) -> DataFrame:
+    """``rows`` sorted by their chr's place in the header, then by a column."""
+    order = F.broadcast(ref_seqs.select(F.col("name").alias("chr"), F.col("ref_id").alias("at")))
+    return rows.join(order, "chr").orderBy("at", then).drop("at")
+
+
 def write_bed_gz(runs: DataFrame, path: str) -> None:
-    runs.select("chr", "start", "end", "depth").write.option("compression", "gzip").option("sep", "\t").csv(path)
+    """chr, start, end, depth as tab-separated lines, in the order of ``runs``: one gzip file. Tasks compress, the writer joins their members."""
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = "".join(line + "\n" for line in batch.column("value").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(text.encode())], pa.binary())], names=["member"])
+
+    lines = runs.select(F.concat_ws("\t", "chr", *[F.col(c).cast("string") for c in ("start", "end", "depth")]).alias("value"))
+    system, target = resolve(path)
+    with system.open_output_stream(target, compression=None) as out:
+        for row in lines.mapInArrow(compress, "member binary").toLocalIterator():
+            out.write(bytes(row["member"]))

@@ -36,7 +36,6 @@ def conditions() -> dict[str, Column]:
     }
 
 
-COUNTERS = tuple(("total primary secondary supplementary duplicates primary_duplicates mapped primary_mapped paired read1 read2 properly_paired both_mapped singletons mate_elsewhere mate_elsewhere_mapq5").split())
 PERCENT_OF = {"mapped": "total", "primary_mapped": "primary", "properly_paired": "paired", "singletons": "paired"}
 
 # Wording of the report, after ``<passed> + <failed> ``.
@@ -58,6 +57,7 @@ LABELS = {
     "mate_elsewhere": "with mate mapped to a different chr",
     "mate_elsewhere_mapq5": "with mate mapped to a different chr (mapQ>=5)",
 }
+COUNTERS = tuple(LABELS)
 
 
 def wide(alignments: DataFrame) -> DataFrame:

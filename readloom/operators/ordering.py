@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.flags import has
 from ..functions.tags import hit_count
+from ..sources.shared import new_folder
 
 LAST = 2147483647
-BUCKETS = 256
+PLACES = 33  # bits of a row's number within its partition, in the ids that Spark gives
 
 
 def coordinate_key() -> list[Column]:
@@ -24,12 +27,12 @@ def name_key() -> list[Column]:
 
 def mates_key() -> list[Column]:
     """Name, hit count (absent first), flag."""
-    return [F.col("read_name"), hit_count(F.col("tags")).asc_nulls_first(), F.col("flag")]
+    return [F.col("read_name"), hit_count(F.col("tags")), F.col("flag")]
 
 
 KEYS = {"coordinate": coordinate_key, "name": name_key, "name_mates": mates_key}
 
-# Spill media that a caller may name; Spark always spills to local disk, so they choose compression only.
+# Spill media that a caller may name; Spark always spills to local disk, so they choose compression only. They hold for a session from its start.
 SPILL_MEDIA = {"file": "false", "lz4_file": "true", "ram": "false", "lz4_ram": "true"}
 
 
@@ -45,35 +48,31 @@ def sort(alignments: DataFrame, by: str = "coordinate") -> DataFrame:
     return alignments.orderBy(*KEYS[by](), "ordinal")
 
 
-def _leading(by: str) -> Column:
-    """A whole number that never falls as the key rises."""
-    if by == "coordinate":
-        ref = F.when(F.col("ref_id") == -1, LAST).otherwise(F.col("ref_id")).cast("long")
-        return ref * (1 << 31) + F.col("pos")
-    return F.conv(F.rpad(F.hex(F.substring(F.col("read_name").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
-def ranked(alignments: DataFrame, by: str = "coordinate", buckets: int = BUCKETS) -> DataFrame:
-    """``alignments`` with rank (from 0) in the order of ``sort``.
+def ranked(alignments: DataFrame, by: str = "coordinate", columns: Iterable[str] = ()) -> DataFrame:
+    """``columns`` (or all) of ``alignments``, with rank (from 0) in the order of ``sort``. Runs one job.
 
-    Approximate quantiles of the key (one small job) cut the rows into buckets;
-    ranks are taken within buckets and shifted by the sizes of those before.
+    Rows are dealt out by ranges of the whole key and ordinal, so that neither
+    equal keys nor keys with one beginning meet in one task, and sorted and
+    numbered there. Ranks are those numbers shifted by the sizes of the ranges
+    before, one row a task. The numbered rows are a table, since another run
+    of the same plan may cut its ranges elsewhere.
     """
-    lead = _leading(by)
-    cuts = alignments.select(F.percentile_approx(lead, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
-    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]).cast("array<bigint>")
-    parted = alignments.withColumn("_lead", lead).withColumn("_bucket", F.size(F.filter(bounds, lambda b: b <= F.col("_lead"))))
-    sizes = parted.groupBy("_bucket").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_bucket", before.alias("_before"))  # at most ``buckets`` rows
-    within = Window.partitionBy("_bucket").orderBy(*KEYS[by](), "ordinal")
-    placed = parted.withColumn("_place", F.row_number().over(within)).join(F.broadcast(offsets), "_bucket")
-    return placed.withColumn("rank", F.col("_place") - 1 + F.col("_before")).drop("_lead", "_bucket", "_place", "_before")
+    spark, wanted, keys = alignments.sparkSession, list(columns) or alignments.columns, KEYS[by]()
+    names = [f"key{k}" for k in range(len(keys))] + ["ordinal"]
+    keyed = alignments.select(F.struct(*wanted).alias("given"), *[k.alias(n) for k, n in zip(keys, names)], F.col("ordinal"))
+    numbered = keyed.repartitionByRange(*names).sortWithinPartitions(*names).select("given", F.monotonically_increasing_id().alias("id"))
+    folder = new_folder(spark, "ranked") + "/rows"
+    numbered.write.parquet(folder)
+    rows = spark.read.schema(numbered.schema).parquet(folder).withColumn("range", F.shiftright("id", PLACES))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.groupBy("range").count().select("range", before.alias("before"))  # one row a task
+    place = F.col("id").bitwiseAND(F.lit((1 << PLACES) - 1))
+    return rows.join(F.broadcast(offsets), "range").select("given.*", (place + F.col("before")).alias("rank"))
 
 
 def permutation(alignments: DataFrame, by: str = "coordinate") -> DataFrame:
     """rank, ordinal: the index of a sort that moves keys only."""
-    return ranked(alignments, by).select("rank", "ordinal")
+    return ranked(alignments, by, ["ordinal"]).select("rank", "ordinal")
 
 
 def gather(alignments: DataFrame, index: DataFrame) -> DataFrame:

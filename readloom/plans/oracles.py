@@ -72,6 +72,11 @@ def _q(body: str, more: str = "") -> str:
     return f"WITH {WITH}{',' + more if more else ''} {body}"
 
 
+# Bytes of a record: its length, the fixed part, name, operations, bases, qualities, and the tags RG (text) and HI (a whole number).
+_RECORD = """4 + 32 + length(read_name) + 1
+  + 4 * CASE WHEN ref_id < 0 OR pos < 0 THEN 0 ELSE len(regexp_extract_all(cigar_text, '[MIDNSHP=X]')) END
+  + (1 + ordinal % 16 + 1) // 2 + 1 + ordinal % 16 + 3 + length(read_name) + 1 + CASE WHEN hi IS NULL THEN 0 ELSE 7 END"""
+
 ORACLES = {
     "flagstat_counts": _q(_each(lambda c: f"SELECT '{c}' AS counter, {c}_passed AS passed, {c}_failed AS failed FROM w"), f" w AS ({_wide()})"),
     "flagstat_wide": _q(_wide()),
@@ -91,7 +96,7 @@ ORACLES = {
     "alignment_end": _q('SELECT ordinal, pos AS start, CASE WHEN span > 0 THEN pos + span - 1 END AS "end" FROM o'),
     "depth_rle": _q(_RUNS_OUT, _runs()),
     "depth_binned": _q(_RUNS_OUT, _runs()),
-    "depth_anchor": _q(_RUNS_OUT, _runs("true", "CASE WHEN (flag & 1796) <> 0 OR span = 0 THEN 1 ELSE span END")),
+    "depth_anchor": _q(_RUNS_OUT, _runs("span > 0", "CASE WHEN (flag & 1796) <> 0 THEN 1 ELSE span END")),
     "depth_mapq": _q(_RUNS_OUT, _runs(mapq=30)),
     "depth_per_base": _q("SELECT chr, p::BIGINT AS coord, depth FROM g WHERE depth > 0", _runs()),
     "depth_text": _q("SELECT chr || chr(9) || p || chr(9) || depth AS value FROM g WHERE depth > 0", _runs(mapq=45)),
@@ -119,4 +124,16 @@ ORACLES = {
     "ref_dictionary": _q("SELECT a.ref_id, name, length, count(*) AS reads FROM a JOIN refs ON a.ref_id = refs.ref_id GROUP BY ALL"),
     "bam_roundtrip": _q(f"SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, ref_id, pos, mapq, flag, next_ref_id, next_pos, tlen, read_name, CASE WHEN ref_id < 0 OR pos < 0 THEN '' ELSE cigar_text END AS cigar_text, {_BASE_TEXT} AS seq, hi AS hit_count FROM o"),
     "header_text": "SELECT '@HD' || chr(9) || 'VN:1.6' || chr(10) || '@PG' || chr(9) || 'ID:x' || chr(10) AS header_text",
+    "reference_list": _q("SELECT ref_id, name, length FROM refs"),
+    "view_records": _q(f"SELECT row_number() OVER (ORDER BY read_name, ordinal) - 1 AS rank, ({_RECORD})::BIGINT AS n_bytes, read_name FROM o"),
+    "bam_fields": _q("SELECT row_number() OVER (ORDER BY ordinal) - 1 AS ordinal, flag, pos, read_name, true AS no_seq FROM o"),
+    "bgzf_uncompressed_size": _q(f"SELECT (4 + 4 + 20 + 4 + (SELECT sum(length(name) + 9) FROM refs) + (SELECT sum({_RECORD}) FROM o))::BIGINT AS uncompressed_bytes"),
+    "codec_benchmark": "SELECT field, codec, true AS written, true AS in_range FROM (VALUES ('ref_id'), ('pos'), ('flag'), ('read_name')) f(field), (VALUES ('zstd'), ('gzip'), ('lz4')) c(codec)",
+    "depth_bed_gz": _q(_RUNS_OUT, _runs()),
+    "store_roundtrip": _q("SELECT ordinal, name, pos, flag, read_name, 20 AS header_chars FROM o LEFT JOIN refs ON o.ref_id = refs.ref_id"),
+    "store_ref_range": _q("SELECT ordinal, ref_id, pos FROM o WHERE ref_id >= 3 AND ref_id <= 5"),
+    "marks_file": _q("SELECT ordinal, CASE WHEN ordinal % 10 = 0 THEN flag | 1024 ELSE flag END AS flag FROM o"),
+    "permutation_file": _q(f"SELECT row_number() OVER (ORDER BY {_COORD}) - 1 AS rank, ordinal FROM o"),
+    "sort_rows": _q("SELECT ordinal, read_name, flag FROM o"),
+    "flagstat_stream": _q(_wide()),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import cigar, flags, positions, seq, tags
 from ..operators import depth, flagstat, ordering, records, regions
 from ..sources import bam, store, text
 from ..sources.shared import new_folder
+from ..streaming import flagstat as stream
 from .synth import from_lineitem, from_orders, ref_seqs
 
 Spark = SparkSession
@@ -139,11 +142,11 @@ def _given(spark: Spark) -> DataFrame:
 
 
 def depth_regions(spark: Spark, d: str) -> DataFrame:
-    return depth.clip_to_regions(_runs(spark, d), _bed(spark))
+    return depth.clip_to_regions(_runs(spark, d), _bed(spark), ref_seqs(spark, d))
 
 
 def depth_region_string(spark: Spark, d: str) -> DataFrame:
-    return depth.clip_to_regions(_runs(spark, d), _given(spark))
+    return depth.clip_to_regions(_runs(spark, d), _given(spark), ref_seqs(spark, d))
 
 
 def region_override(spark: Spark, d: str) -> DataFrame:
@@ -155,15 +158,15 @@ def region_default_all(spark: Spark, d: str) -> DataFrame:
 
 
 def sort_coordinate(spark: Spark, d: str) -> DataFrame:
-    return ordering.ranked(from_orders(spark, d), "coordinate").select("rank", "ordinal", "ref_id", "pos", "flag")
+    return ordering.ranked(from_orders(spark, d), "coordinate", ["ordinal", "ref_id", "pos", "flag"])
 
 
 def sort_name(spark: Spark, d: str) -> DataFrame:
-    return ordering.ranked(from_orders(spark, d), "name").select("rank", "ordinal", "read_name")
+    return ordering.ranked(from_orders(spark, d), "name", ["ordinal", "read_name"])
 
 
 def sort_name_mates(spark: Spark, d: str) -> DataFrame:
-    return ordering.ranked(from_orders(spark, d), "name_mates").select("rank", "ordinal", "read_name", "flag")
+    return ordering.ranked(from_orders(spark, d), "name_mates", ["ordinal", "read_name", "flag"])
 
 
 def index_permutation(spark: Spark, d: str) -> DataFrame:
@@ -284,8 +287,81 @@ def header_text(spark: Spark, d: str) -> DataFrame:
 
 
 def codec_benchmark(spark: Spark, d: str) -> DataFrame:
+    """Of each field and codec: whether bytes were written and whether the codec saved some; sizes themselves depend on library versions."""
     rows = from_orders(spark, d).select("ref_id", "pos", "flag", "read_name")
-    return store.codec_sizes(rows, rows.columns, ["zstd", "gzip", "lz4"], new_folder(spark, "codecs"))
+    sizes = store.codec_sizes(rows, rows.columns, ["zstd", "gzip", "lz4"], new_folder(spark, "codecs"))
+    return sizes.select("field", "codec", (F.col("bytes") > 0).alias("written"), F.col("saved_percent").between(-100, 100).alias("in_range"))
+
+
+def reference_list(spark: Spark, d: str) -> DataFrame:
+    return bam.ref_seqs(spark, _bam_file(spark, d))
+
+
+def view_records(spark: Spark, d: str) -> DataFrame:
+    """Records as bytes in the order of a permutation that went through its file: each one's size, and the name within it."""
+    rows, path = _bam_rows(spark, d), new_folder(spark, "view") + "/x.idx"
+    text.write_permutation(ordering.permutation(rows, "name"), path)
+    seen = bam.encoded(ordering.gather(rows, text.read_permutation(spark, path)), "rank")
+    size = F.conv(F.hex(F.substring("record", 13, 1)), 16, 10).cast("int")
+    name = F.substr("record", F.lit(37), size - 1).cast("string")
+    return seen.select("rank", F.length("record").cast("long").alias("n_bytes"), name.alias("read_name"))
+
+
+def bam_fields(spark: Spark, d: str) -> DataFrame:
+    """Only the named fields are decoded."""
+    rows = bam.read_bam(spark, _bam_file(spark, d), fields="flag,pos,read_name")
+    return rows.select("ordinal", "flag", "pos", "read_name", F.col("seq").isNull().alias("no_seq"))
+
+
+def depth_bed_gz(spark: Spark, d: str) -> DataFrame:
+    """Written as one gzip file, read back."""
+    path, refs = new_folder(spark, "bed") + "/x.bed.gz", ref_seqs(spark, d)
+    depth.write_bed_gz(depth.in_header_order(_runs(spark, d), refs, "start"), path)
+    return spark.read.option("sep", "\t").schema("chr string, start long, end long, depth long").csv(path)
+
+
+def store_roundtrip(spark: Spark, d: str) -> DataFrame:
+    path, refs = new_folder(spark, "store"), ref_seqs(spark, d)
+    store.write(from_orders(spark, d), refs, HEADER, path, "zstd", ["ref_id", "pos", "ordinal"])
+    rows, names, header = store.read(spark, path)
+    joined = rows.join(F.broadcast(names), "ref_id", "left").join(F.broadcast(header))  # one header
+    return joined.select("ordinal", "name", "pos", "flag", "read_name", F.length("header_text").alias("header_chars"))
+
+
+def store_ref_range(spark: Spark, d: str) -> DataFrame:
+    """Records of a range of references, which the sorted store prunes."""
+    path = new_folder(spark, "store")
+    store.write(from_orders(spark, d), ref_seqs(spark, d), HEADER, path, "zstd", ["ref_id", "pos", "ordinal"])
+    return store.ref_range(store.read(spark, path)[0], 3, 5).select("ordinal", "ref_id", "pos")
+
+
+def marks_file(spark: Spark, d: str) -> DataFrame:
+    """Marks through their file; its lines are numbered from 0, as the records in order of their ordinals."""
+    rows = ordering.permutation(from_orders(spark, d).withColumn("ref_id", F.lit(0)).withColumn("pos", F.lit(0)).withColumn("flag", F.lit(0)))
+    path = new_folder(spark, "marks") + "/x.txt"
+    text.write_marks(rows.select(F.col("rank").alias("ordinal"), F.when(F.col("ordinal") % 10 == 0, "1").otherwise("0").alias("mark")), path)
+    numbered = from_orders(spark, d).join(rows, "ordinal").withColumns({"key": F.col("ordinal"), "ordinal": F.col("rank")}).drop("rank")
+    return records.patch_dups(numbered, text.read_marks(spark, path)).select(F.col("key").alias("ordinal"), "flag")
+
+
+def permutation_file(spark: Spark, d: str) -> DataFrame:
+    path = new_folder(spark, "index") + "/x.idx"
+    text.write_permutation(ordering.permutation(from_orders(spark, d)), path)
+    return text.read_permutation(spark, path)
+
+
+def sort_rows(spark: Spark, d: str) -> DataFrame:
+    return ordering.sort(from_orders(spark, d), "name_mates").select("ordinal", "read_name", "flag")
+
+
+def flagstat_stream(spark: Spark, d: str) -> DataFrame:
+    """Running totals once all files of a stream are in."""
+    folder, name = new_folder(spark, "stream"), f"totals_{uuid.uuid4().hex}"
+    from_lineitem(spark, d).select("flag", "ref_id", "next_ref_id", "mapq").write.parquet(f"{folder}/in")
+    query = stream.start(stream.read_stream(spark, f"{folder}/in", 1), name, f"{folder}/state")
+    query.processAllAvailable()
+    query.stop()
+    return spark.table(name)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -294,5 +370,6 @@ QUERIES = {f.__name__: f for f in (
     depth_rle, depth_binned, depth_anchor, depth_mapq, depth_per_base, depth_text, depth_regions, depth_region_string, region_override,
     region_default_all, sort_coordinate, sort_name, sort_name_mates, index_permutation, view_by_index, patch_dups, block_stats, block_lookup,
     block_first_row, item_sizes, tag_hit_count, tag_scan, seq_encode, seq_decode, bed_parse, bed_errors, virtual_position, ref_dictionary,
-    bam_roundtrip, bgzf_uncompressed_size, header_text, codec_benchmark,
+    bam_roundtrip, bgzf_uncompressed_size, header_text, codec_benchmark, reference_list, view_records, bam_fields, depth_bed_gz,
+    store_roundtrip, store_ref_range, marks_file, permutation_file, sort_rows, flagstat_stream,
 )}

@@ -15,6 +15,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,7 +113,9 @@ def decode_record(body: bytes) -> dict:
 
 def encode_record(row: dict) -> bytes:
     """A record with its length. A row without bases or qualities has none; a CIGAR of over 65,535 operations goes to the CG tag."""
-    name = (row.get("read_name") or "*").encode("latin-1")[:254] + b"\0"
+    name = (row.get("read_name") or "*").encode("latin-1") + b"\0"
+    if len(name) > 255:
+        raise ValueError(f"a read name has {len(name) - 1} bytes; the format holds 254")
     seq = row.get("seq") or ""
     codes = [(x["len"] << 4) | S.CIGAR_OPS.index(x["op"]) for x in row.get("cigar") or []]
     raw = row.get("tags_raw")
@@ -140,6 +143,69 @@ def encode_header(text: str, refs: list[tuple[str, int]]) -> bytes:
     return out
 
 
+HEAD = np.dtype([("ref_id", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<u4"), ("next_ref_id", "<i4"), ("next_pos", "<i4"), ("tlen", "<i4")])
+OPERATION, TAG = pa.struct([("op", pa.string()), ("len", pa.int32())]), pa.struct([("tag", pa.string()), ("type", pa.string()), ("value", pa.string())])
+KINDS = {
+    "ref_id": pa.int32(), "pos": pa.int32(), "mapq": pa.int16(), "bin": pa.int32(), "flag": pa.int32(), "next_ref_id": pa.int32(), "next_pos": pa.int32(), "tlen": pa.int32(),
+    "read_name": pa.string(), "cigar": pa.list_(OPERATION), "seq": pa.string(), "qual": pa.binary(), "tags": pa.list_(TAG), "tags_raw": pa.binary(),
+}
+_PAIRS = np.array([[ord(S.BASES[k >> 4]), ord(S.BASES[k & 15])] for k in range(256)], np.uint8)
+_NAMES = np.array(list(S.CIGAR_OPS) + ["?"] * 7)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all items of spans, one span after the other, and where each span begins among them (and the end)."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1]), ends
+
+
+def decode_records(bodies: list[bytes], fields: set[str]) -> dict[str, pa.Array]:
+    """The named columns of many records, decoded column by column; what isn't named isn't touched. The same values as ``decode_record``."""
+    buf = np.frombuffer(b"".join(bodies), np.uint8)
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    at = np.cumsum(sizes) - sizes
+    head = buf[at[:, None] + np.arange(32)].view(HEAD)[:, 0]
+    l_name, n_cigar, l_seq = (head[c].astype(np.int64) for c in ("l_name", "n_cigar", "l_seq"))
+    cigar_at = at + 32 + l_name
+    seq_at = cigar_at + 4 * n_cigar
+    qual_at = seq_at + (l_seq + 1) // 2
+    tags_at = qual_at + l_seq
+    out: dict[str, pa.Array] = {c: pa.array(head[c].astype(KINDS[c].to_pandas_dtype())) for c in fields & set(HEAD.names)}
+    slow: dict[int, dict] = {}  # records whose CIGAR may be in a tag
+    if fields & {"cigar", "tags", "tags_raw"}:
+        places, ends = _spans(cigar_at, 4 * n_cigar)
+        codes = buf[places].view("<u4")
+        first = np.zeros(len(bodies), np.int64)
+        first[n_cigar > 0] = codes[ends[:-1][n_cigar > 0] // 4]
+        slow = {i: decode_record(bodies[i]) for i in np.flatnonzero((n_cigar == 2) & (first == (l_seq << 4 | 4))).tolist()}
+    if "cigar" in fields:
+        counts = np.where((head["ref_id"] < 0) | (head["pos"] < 0), 0, n_cigar)
+        if slow:
+            rows = [(slow[i]["cigar"] if i in slow else [{"op": S.CIGAR_OPS[c & 15], "len": c >> 4} for c in codes[ends[i] // 4 : ends[i] // 4 + counts[i]].tolist()]) for i in range(len(bodies))]
+            out["cigar"] = pa.array(rows, KINDS["cigar"])
+        else:
+            kept, starts = _spans(ends[:-1] // 4, counts)
+            values = pa.StructArray.from_arrays([pa.array(_NAMES[codes[kept] & 15], pa.string()), pa.array((codes[kept] >> 4).astype(np.int32))], fields=list(OPERATION))
+            out["cigar"] = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)
+    if "read_name" in fields:
+        out["read_name"] = pa.array([b[32 : 32 + n].rstrip(b"\0").decode("latin-1") for b, n in zip(bodies, l_name.tolist())], pa.string())
+    if "seq" in fields:
+        half = (l_seq + 1) // 2
+        letters = _PAIRS[buf[_spans(seq_at, half)[0]]].reshape(-1)
+        kept, starts = _spans(2 * (np.cumsum(half) - half), l_seq)
+        out["seq"] = pa.StringArray.from_buffers(len(bodies), pa.py_buffer(starts.astype(np.int32).tobytes()), pa.py_buffer(letters[kept].tobytes()))
+    if "qual" in fields:
+        parts = [b[a : a + n] for b, a, n in zip(bodies, (qual_at - at).tolist(), l_seq.tolist())]
+        out["qual"] = pa.array([None if q.count(255) == len(q) else q for q in parts], pa.binary())
+    if fields & {"tags", "tags_raw"}:
+        raw = [slow[i]["tags_raw"] if i in slow else b[a:] for i, (b, a) in enumerate(zip(bodies, (tags_at - at).tolist()))]
+        if "tags" in fields:
+            out["tags"] = pa.array([decode_tags(r) for r in raw], KINDS["tags"])
+        if "tags_raw" in fields:
+            out["tags_raw"] = pa.array(raw, pa.binary())
+    return out
+
+
 class _Inflated(io.RawIOBase):
     """The inflated bytes from a block on; ``block_of`` tells where the block of the last byte read begins."""
 
@@ -207,7 +273,7 @@ class Run(InputPartition):
 
 
 class BamSource(DataSource):
-    """Options: path (a file), split_bytes, fields (comma-separated columns to decode; the others are null)."""
+    """Options: path (a file), split_bytes, fields (comma-separated columns to decode; the others are null and their bytes aren't looked at)."""
 
     @classmethod
     def name(cls) -> str:
@@ -243,7 +309,9 @@ def _plausible(data: bytes, at: int, n_refs: int) -> bool | None:
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT))
-        self.fields = set(filter(None, options.get("fields", "").split(",")))
+        self.fields = set(filter(None, options.get("fields", "").split(","))) or set(KINDS)
+        if unknown := self.fields - set(KINDS):
+            raise ValueError(f"no such fields: {sorted(unknown)}")
 
     def partitions(self) -> list[Run]:
         """Runs of about ``split_bytes``; only the header and one block border a run are read."""
@@ -276,7 +344,7 @@ class BamReader(DataSourceReader):
 
     def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         system, _ = resolve(self.path)
-        rows: list[dict] = []
+        bodies: list[bytes] = []
         place = 0
         with system.open_input_file(partition.path) as file:
             data = _Inflated(file, partition.low)
@@ -287,16 +355,13 @@ class BamReader(DataSourceReader):
                     body = data.take(struct.unpack("<I", head)[0]) if len(head) == 4 else b""
                     if len(head) < 4 or len(body) < struct.unpack("<I", head)[0]:
                         raise ValueError(f"truncated record in {partition.path}")
-                    row = decode_record(body)
-                    if self.fields:
-                        row = {k: v for k, v in row.items() if k in self.fields}
-                    rows.append(row | {"path": partition.path, "split": partition.split, "place": place})
-                    place += 1
-                    if len(rows) >= 4096:
-                        yield self._batch(rows)
-                        rows = []
-        if rows:
-            yield self._batch(rows)
+                    bodies.append(body)
+                    if len(bodies) >= 4096:
+                        yield self._batch(bodies, partition, place)
+                        place += len(bodies)
+                        bodies = []
+        if bodies:
+            yield self._batch(bodies, partition, place)
 
     @staticmethod
     def _first(file, partition: Run) -> int:
@@ -317,11 +382,11 @@ class BamReader(DataSourceReader):
             if not more:
                 return len(data)
 
-    @staticmethod
-    def _batch(rows: list[dict]) -> pa.RecordBatch:
-        op, tag = pa.struct([("op", pa.string()), ("len", pa.int32())]), pa.struct([("tag", pa.string()), ("type", pa.string()), ("value", pa.string())])
-        kinds = {"path": pa.string(), "split": pa.int32(), "place": pa.int64(), "ref_id": pa.int32(), "pos": pa.int32(), "mapq": pa.int16(), "bin": pa.int32(), "flag": pa.int32(), "next_ref_id": pa.int32(), "next_pos": pa.int32(), "tlen": pa.int32(), "read_name": pa.string(), "cigar": pa.list_(op), "seq": pa.string(), "qual": pa.binary(), "tags": pa.list_(tag), "tags_raw": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()], names=list(kinds))
+    def _batch(self, bodies: list[bytes], partition: Run, place: int) -> pa.RecordBatch:
+        n, found = len(bodies), decode_records(bodies, self.fields)
+        columns = {"path": pa.array([partition.path] * n), "split": pa.array([partition.split] * n, pa.int32()), "place": pa.array(np.arange(place, place + n))}
+        columns |= {c: found[c] if c in found else pa.nulls(n, kind) for c, kind in KINDS.items()}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def read_bam(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -348,7 +413,7 @@ def write_bam(rows: DataFrame, path: str, header: str, refs: list[tuple[str, int
     ordered = rows.repartitionByRange(order).sortWithinPartitions(order)
     encoded = ordered.mapInArrow(_deflate(level), "blocks binary")
     system, target = resolve(path)
-    with system.open_output_stream(target) as out:
+    with system.open_output_stream(target, compression=None) as out:
         out.write(bgzf.compress(encode_header(header, refs), level)[: -len(bgzf.END_BLOCK)])
         for row in encoded.toLocalIterator():
             out.write(bytes(row["blocks"]))
@@ -365,11 +430,21 @@ def _deflate(level: int):
     return run
 
 
+def encoded(rows: DataFrame, order: str = "ordinal") -> DataFrame:
+    """The order's column and each row's record as bytes, its length first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(order), pa.array([encode_record(r) for r in batch.to_pylist()], pa.binary())], names=[order, "record"])
+
+    return rows.mapInArrow(run, f"{order} long, record binary")
+
+
 def view_bytes(rows: DataFrame, header: str, refs: list[tuple[str, int]], order: str = "ordinal") -> Iterator[bytes]:
-    """The uncompressed file, piece by piece: header, then records in the given order."""
+    """The uncompressed file, piece by piece: header, then records in the given order. Tasks encode."""
     yield encode_header(header, refs)
-    for row in rows.orderBy(order).drop(*({"rank"} - {order})).toLocalIterator():
-        yield encode_record(row.asDict(recursive=True))
+    for row in encoded(rows.repartitionByRange(order).sortWithinPartitions(order), order).toLocalIterator():
+        yield bytes(row["record"])
 
 
 def uncompressed_size(spark: SparkSession, path: str) -> DataFrame:

@@ -31,6 +31,11 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     return tuple(spark.read.parquet(f"{path}/{part}") for part in ("alignments", "ref_seqs", "header"))
 
 
+def ref_range(alignments: DataFrame, low: int, high: int) -> DataFrame:
+    """Records of references ``low`` to ``high`` (both in); on a store sorted by reference Parquet skips the other row groups."""
+    return alignments.where(F.col("ref_id").between(low, high))
+
+
 def codec_sizes(table: DataFrame, columns: list[str], codecs: list[str], folder: str) -> DataFrame:
     """field, codec, bytes, saved_percent: each column written alone with each codec, against no compression for the whole."""
     spark = table.sparkSession

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import resolve
 
 REGION = r"^([^:]+):(\d+)-(\d+)$"
+CHUNK = 4 << 20  # bytes of a permutation file read at once
 
 
 def parse_bed(lines: DataFrame, strict: bool = True) -> DataFrame:
@@ -43,13 +46,21 @@ def _settled(cells: DataFrame, strict: bool) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Lines of one text file with their number from 0 (the file is read as one split, so numbers are file order)."""
-    lines = spark.read.option("wholetext", True).text(path)
-    return lines.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias(name, "value"))
+    """Lines of one text file with their number from 0.
+
+    The file is read in blocks. Spark numbers rows in ascending order within a
+    block; the lines of the blocks before (one row a block) are added.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    shift = blocks.select("block", (before - F.col("least")).alias("shift"))
+    return lines.join(F.broadcast(shift), "block").select((F.col("id") + F.col("shift")).alias(name), "value")
 
 
 def read_bed(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    return parse_bed(numbered_lines(spark, path, "region_id"), strict)
+    lines = numbered_lines(spark, path, "region_id")
+    return parse_bed(lines.select(F.col("region_id").cast("int").alias("region_id"), "value"), strict)
 
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
@@ -57,20 +68,54 @@ def read_marks(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path, "ordinal").select(F.col("ordinal").cast("long"), F.col("value").alias("mark"))
 
 
+def write_marks(marks: DataFrame, path: str) -> None:
+    """Marks by ordinal, one line each, in one file."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _piece("".join(f"{m}\n" for m in batch.column("mark").to_pylist()).encode())
+
+    _concatenate(marks, "ordinal", joined, path)
+
+
 def write_permutation(index: DataFrame, path: str) -> None:
     """Ordinals by rank, as a file of little-endian unsigned 32-bit integers (the exchange format; Parquet is the usual store)."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _piece(batch.column("ordinal").to_numpy().astype("<u4").tobytes())
+
+    _concatenate(index, "rank", packed, path)
+
+
+def _piece(data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["piece"])
+
+
+def _concatenate(rows: DataFrame, order: str, encode, path: str) -> None:
+    """Tasks sort and encode; the writer only joins their pieces, one partition at a time."""
+    pieces = rows.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(encode, "piece binary")
     system, target = resolve(path)
-    with system.open_output_stream(target) as out:
-        for row in index.orderBy("rank").toLocalIterator():
-            out.write(struct.pack("<I", row["ordinal"]))
+    with system.open_output_stream(target, compression=None) as out:
+        for row in pieces.toLocalIterator():
+            out.write(bytes(row["piece"]))
 
 
 def read_permutation(spark: SparkSession, path: str) -> DataFrame:
-    """rank, ordinal of such a file, without a loop over its numbers on the driver."""
-    digits = F.hex("content")
-    count = (F.length(digits) / 8).cast("int")
-    file = spark.read.format("binaryFile").load(path).where("length > 0")
-    at = file.select(digits.alias("digits"), F.explode(F.sequence(F.lit(0), count - 1)).alias("rank"))
-    byte = lambda k: F.substr("digits", F.col("rank") * 8 + 1 + 2 * k, F.lit(2))
-    number: Column = F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
-    return at.select(F.col("rank").cast("long"), number.alias("ordinal"))
+    """rank, ordinal of such a file, read by ranges of bytes."""
+    system, at = resolve(path)
+    size = system.get_file_info(at).size
+    if size % 4:
+        raise ValueError(f"{path}: not a whole number of 32-bit integers")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = resolve(path)
+        for batch in batches:
+            for start in batch.column("id").to_pylist():
+                with system.open_input_file(at) as file:
+                    file.seek(start)
+                    ordinals = np.frombuffer(file.read(min(CHUNK, size - start)), "<u4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ordinals)) + start // 4), pa.array(ordinals)], names=["rank", "ordinal"])
+
+    starts = spark.range(0, size, CHUNK, numPartitions=max(1, min(-(-size // CHUNK), 10_000)))
+    return starts.mapInArrow(read, "rank long, ordinal long")

@@ -48,10 +48,8 @@ def test_depth_against_counting(spark, mode, bin_size):
     base = Counter()
     for _, ref, pos, _, flag, _, _, ops in rows:
         n = covered(ops)
-        if flag & 1796:
-            n = 0
-        if mode == "anchor":
-            n = max(n, 1)
+        if n and flag & 1796:  # reads that cover nothing are passed over before the flags are looked at
+            n = 1 if mode == "anchor" else 0
         if ref >= 0 and pos >= 0:
             for p in range(pos, min(pos + n, REFS[ref][2])):
                 base[REFS[ref][1], p] += 1
@@ -67,8 +65,15 @@ def test_depth_of_nothing_and_regions(spark):
     runs = depth.segments(depth.spans(frame(spark, reads(1)).where("false")), refs(spark))
     assert sorted(map(tuple, runs.select("chr", "start", "end", "depth").collect())) == [("a", 0, 100, 0), ("b", 0, 40, 0), ("empty", 0, 25, 0)]
     cut = spark.createDataFrame([(0, "a", 10, 20), (1, "a", 15, 400), (2, "x", 0, 9), (3, "b", 5, 5), (4, "b", 40, 50)], "region_id int, chr string, start long, end long")
-    assert sorted(map(tuple, depth.clip_to_regions(runs, cut).collect())) == [(0, "a", 10, 20, 0), (1, "a", 15, 100, 0)]
+    assert sorted(map(tuple, depth.clip_to_regions(runs, cut, refs(spark), 8).collect())) == [(0, "a", 10, 20, 0), (1, "a", 15, 100, 0)]
     assert sorted(r[0] for r in regions.clip(cut, refs(spark)).collect()) == [0, 1]
+    rng = random.Random(5)
+    some = [(i, rng.choice("ab"), a, a + rng.randint(0, 60)) for i in range(60) for a in [rng.randint(0, 90)]]
+    found = depth.segments(depth.spans(frame(spark, reads(6))), refs(spark))
+    wanted = [(i, c, max(r["start"], a), min(r["end"], b), r["depth"]) for i, c, a, b in some for r in found.collect() if r["chr"] == c and max(r["start"], a) < min(r["end"], b)]
+    given = spark.createDataFrame(some, "region_id int, chr string, start long, end long")
+    for size in (3, 16, 1 << 14):
+        assert sorted(map(tuple, depth.clip_to_regions(found, given, refs(spark), size).collect())) == sorted(wanted)
 
 
 def test_flagstat_is_additive_and_streams(spark, tmp_path):
@@ -91,11 +96,28 @@ def test_ranks_follow_the_sort(spark, by):
     kind = "array<struct<tag:string,type:string,value:string>>"
     table = frame(spark, reads(3)).withColumn("tags", F.array().cast(kind))
     order = [r["ordinal"] for r in ordering.sort(table, by).collect()]
-    ranks = {r["ordinal"]: r["rank"] for r in ordering.ranked(table, by, 5).collect()}
+    ranks = {r["ordinal"]: r["rank"] for r in ordering.ranked(table.repartition(7), by).collect()}
     assert [ranks[o] for o in order] == list(range(300))
     assert ordering.ranked(table.where("false"), by).count() == 0
 
 
+@pytest.mark.parametrize("by", ["coordinate", "name", "name_mates"])
+def test_keys_with_one_beginning_spread_over_tasks(spark, by):
+    """Names with one long prefix, and reads without any place."""
+    rows = [(i, -1, -1, 0, 4, -1, f"A00123:45:HXXXXXXXX:{(i * 7919) % 4000}", "1M") for i in range(4000)]
+    table = frame(spark, rows).withColumn("tags", F.array().cast("array<struct<tag:string,type:string,value:string>>"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would share a task
+    try:
+        ranks = ordering.ranked(table.repartition(4), by, ["ordinal"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(rows, key=(lambda r: r[0]) if by == "coordinate" else (lambda r: (r[6], r[0])))
+    assert [r["ordinal"] for r in ranks.orderBy("rank").collect()] == [r[0] for r in order]
+    (folder,) = {f.rsplit("/", 1)[0] for f in ranks.inputFiles()}
+    tasks = spark.read.parquet(folder).groupBy(F.shiftright("id", ordering.PLACES)).count().collect()
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 3000
+
+
 def test_coordinate_order(spark):
     rows = [(0, -1, -1, 0, 0, 0, "x", "1M"), (1, 0, 5, 0, 16, 0, "x", "1M"), (2, 0, 5, 0, 0, 0, "x", "1M"), (3, 0, -1, 0, 0, 0, "x", "1M"), (4, 0, 5, 0, 0, 0, "x", "1M")]
     assert [r["ordinal"] for r in ordering.sort(frame(spark, rows)).collect()] == [3, 2, 4, 1, 0]
@@ -118,12 +140,32 @@ def test_templates():
         t.set("z")
 
 
-def test_permutation_file(spark, tmp_path):
+def test_permutation_file(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "x.idx")
     index = spark.createDataFrame([(0, 7), (1, 4000000000), (2, 1)], "rank long, ordinal long")
     text.write_permutation(index, path)
     assert open(path, "rb").read() == struct.pack("<3I", 7, 4000000000, 1)
     assert sorted(map(tuple, text.read_permutation(spark, path).collect())) == [(0, 7), (1, 4000000000), (2, 1)]
+    many = spark.range(5000).select(F.col("id").alias("rank"), (4999 - F.col("id")).alias("ordinal"))
+    text.write_permutation(many, path)
+    monkeypatch.setattr(text, "CHUNK", 4 * 700)
+    assert sorted(map(tuple, text.read_permutation(spark, path).collect())) == [(i, 4999 - i) for i in range(5000)]
+    (tmp_path / "odd").write_bytes(b"12345")
+    with pytest.raises(ValueError, match="whole number"):
+        text.read_permutation(spark, str(tmp_path / "odd"))
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    path = str(tmp_path / "marks")
+    text.write_marks(spark.range(20000).select(F.col("id").alias("ordinal"), (F.col("id") * 31 % 997).cast("string").alias("mark")), path)
+    assert open(path).read() == "".join(f"{i * 31 % 997}\n" for i in range(20000))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = sorted(map(tuple, text.read_marks(spark, path).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(i, str(i * 31 % 997)) for i in range(20000)]
 
 
 # --- BAM ---------------------------------------------------------------------
@@ -148,6 +190,22 @@ def test_record_round_trip():
         assert bam.encode_record(back | {"ordinal": 0}) == raw
 
 
+def test_columns_hold_what_records_hold():
+    rows = sample_rows(200)
+    long_ = sample_rows(3)[2] | {"cigar": [{"op": "M", "len": 1}, {"op": "I", "len": 1}] * 40000, "seq": "A" * 10, "qual": None, "tags": []}
+    for given in (rows, [*rows[:20], long_, *rows[20:40]], rows[:1]):
+        bodies = [bam.encode_record(r)[4:] for r in given]
+        found = bam.decode_records(bodies, set(bam.KINDS))
+        assert [dict(zip(found, x)) for x in zip(*[c.to_pylist() for c in found.values()])] == [{k: r[k] for k in found} for r in map(bam.decode_record, bodies)]
+        assert {k: c.type for k, c in found.items()} == bam.KINDS
+    assert set(bam.decode_records(bodies, {"flag", "seq"})) == {"flag", "seq"}
+
+
+def test_long_names_raise():
+    with pytest.raises(ValueError, match="254"):
+        bam.encode_record(sample_rows(1)[0] | {"read_name": "n" * 255})
+
+
 def test_default_record():
     back = bam.decode_record(struct.pack("<iiBBHHHIiii", -1, -1, 2, 255, 4680, 0, 4, 0, -1, -1, 0) + b"*\0")
     assert (back["read_name"], back["flag"], back["cigar"], back["seq"], back["qual"]) == ("*", 4, [], "", None)
@@ -186,6 +244,10 @@ def test_store_round_trip(spark, tmp_path):
     store.write(table, refs(spark), "@HD\n", str(tmp_path / "s"), "brotli", ["ref_id", "pos"])
     rows, names, header = store.read(spark, str(tmp_path / "s"))
     assert rows.exceptAll(table).count() == 0 and rows.count() == 50 and names.count() == 3 and header.first()[0] == "@HD\n"
+    some = store.ref_range(rows, 1, 1)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ref_id), GreaterThanOrEqual(ref_id,1), LessThanOrEqual(ref_id,1)]" in plan
+    assert some.count() == sum(r[1] == 1 for r in reads(5, 50))
     with pytest.raises(ValueError):
         store.codec("nope")
     with pytest.raises(ValueError):
