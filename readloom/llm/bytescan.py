@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WINDOW = 1 << 20  # bytes hashed at once
-GROUP = 8 << 20  # text bytes handled at once
+GROUP = 2 << 20  # text bytes handled at once
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

@@ -25,7 +25,7 @@ PASSAGES = 120_000  # and passages of them
 OF_ONE = 1000  # passages of a document that teach, at most, evenly spread over it; scores take all
 HIDDEN, ATTENTION, STEPS, BAGS = 16, 8, 600, 256
 THRESHOLD = 0.3
-GROUP = 4 << 20
+GROUP = 1 << 20
 
 # Classes of bytes: lower, upper, beyond ASCII, digit, space, line feed, stop or comma, !, other sentence marks, symbols, bar, rest.
 _CLASS = np.full(256, 11, np.int64)
