@@ -20,8 +20,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null texts are scored as empty ones; equal texts have one fate; without a usable label all documents stay.
     """
     learn = _labels(spark, sf_dir).where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "quality")
-    rows = docs.select(F.struct("*").alias("given"), "text")
-    return quality.score(rows, quality.train(docs, learn)).where("predicted = 1").select("given.*")
+    names = {n: "text" if n == "text" else f"given{k}" for k, n in enumerate(docs.columns)}  # none that the scores take
+    rows = docs.select(*[F.col(f"`{n}`").alias(k) for n, k in names.items()])
+    return quality.score(rows, quality.train(docs, learn)).where("predicted = 1").select(*[F.col(k).alias(n) for n, k in names.items()])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
