@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytescan import mix, row_groups, shingles, text_buffer, words
@@ -41,6 +41,7 @@ K = 64
 LIST = 32  # classes in a list that gives all its pairs
 OVERLAPS = 2  # values in short lists that a pair must have in common; linked classes that differ have at least four in common
 MARGIN = 5.3
+BITMAP = 8  # 64-bit words
 NO_ID = 2**63 - 1
 
 
@@ -277,13 +278,23 @@ class _Apart:
     member alone has drop out; a member that has u left can share u at most, so
     z(x) = 2q u(x) - w(x) must reach w(y), and the other way round. Of the u
     values, in any fixed order, all but the last (least number to share) - 1 are
-    a prefix in which some shared value must lie; the rarest come first.
+    a prefix in which some shared value must lie; the rarest come first. Pairs
+    that meet there are held against each other's bitmaps of all u values before
+    they leave the join: what is shared has a bit in both, or is one of the
+    values that fell on a bit with another, of either side.
     """
 
     def __init__(self, check: _Check, members: DataFrame, scratch: Scratch, percent: int):
         self.check, self.members, self.scratch = check, members, scratch
         self.q, self.r = 100 + percent, 100 - percent
 
+    @staticmethod
+    def _bits(values: Column, word: int) -> Column:
+        """Word of a bitmap with a bit for each of some hashed values."""
+        bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        mine = F.filter(values, lambda v: F.pmod(F.shiftright(v, 6), F.lit(BITMAP)) == word)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda all_, v: all_.bitwiseOR(bit(v)))
+
     def links(self) -> DataFrame:
         table = self.scratch.table
         sets = self.check.sets(self.members.select("node").distinct(), "members")
@@ -304,11 +315,16 @@ class _Apart:
         low, high = (F.when(F.col("apart"), F.col(f"{c}_any")).otherwise(F.col(f"{c}_apart")) for c in "wz")
         able = state.join(bounds, "pivot").withColumns({"low": low, "high": high}).where("z >= low and high >= w")
         length = F.greatest(F.lit(0), F.col("u") - F.ceil((F.col("w") + F.col("low")) / (2 * self.q)) + 1).cast("int")
-        value = F.explode(F.slice("rarest", F.lit(1), length)["value"]).alias("value")
-        ranked = table(able.select("pivot", "node", "component", "apart", "w", "z", value), "prefixes")
+        bits = [self._bits(F.col("rarest")["value"], k).alias(f"b{k}") for k in range(BITMAP)]
+        able = able.select("pivot", "node", "component", "apart", "w", "z", "u", F.slice("rarest", F.lit(1), length)["value"].alias("prefix"), *bits).where(F.size("prefix") > 0)
+        lost = F.col("u") - sum(F.bit_count(f"b{k}") for k in range(BITMAP))
+        able = able.withColumns({"lost": lost, "value": F.explode("prefix")}).drop("prefix", "u")
+        ranked = table(able, "prefixes")
         x, y = ranked.where("apart").alias("x"), ranked.alias("y")
-        met = x.join(y, ["pivot", "value"]).where("x.component <> y.component and x.z >= y.w and y.z >= x.w and (not y.apart or x.node < y.node)")
-        met = table(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "pivot").groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "met")
+        both = sum(F.bit_count(F.col(f"x.b{k}").bitwiseAND(F.col(f"y.b{k}"))) for k in range(BITMAP)) + F.least("x.lost", "y.lost")
+        may = (2 * self.q * both >= F.col("x.w") + F.col("y.w")) & F.expr("x.component <> y.component and x.z >= y.w and y.z >= x.w and (not y.apart or x.node < y.node)")
+        met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.value") == F.col("y.value")) & may)
+        met = table(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "x.pivot").groupBy("a", "b").agg(F.min("pivot").alias("pivot")), "met")
         ends = met.select("pivot", F.col("a").alias("node")).union(met.select("pivot", F.col("b").alias("node"))).distinct()
         held = table(diffs.select("pivot", "node", "w", "d").join(ends, ["pivot", "node"], "left_semi"), "held")
         side = lambda c: held.select("pivot", F.col("node").alias(c), F.col("w").alias(f"w_{c}"), F.col("d").alias(f"d_{c}"))
