@@ -362,18 +362,17 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     place = [F.col("t.doc_id").alias("t_doc"), F.col("t.h").alias("t_h"), F.col("t.pos").alias("y")]
     first = scratch.table(shared.groupBy("value").agg(least).select("value", *place), "first")
     matches = shared.join(first, "value").where("doc_id <> t_doc or h <> t_h").select("doc_id", "h", "t_doc", "t_h", "pos", "y")
-    sides = F.explode(F.array(F.xxhash64("value", "left", F.lit(0)), F.xxhash64("value", "right", F.lit(1)))).alias("side")
-    contexts = shared.select("value", "doc_id", "h", "pos", sides)
-    others = contexts.groupBy("side").agg(F.min("value").alias("value"), least, F.min(_key()).alias("one"), F.max(_key()).alias("two"))
-    others = others.where("one <> two").select("side", "value", F.col("t.doc_id").alias("o_doc"), F.col("t.h").alias("o_h"), F.col("t.pos").alias("o_y"))
-    others = others.join(first, "value").where("o_doc <> t_doc or o_h <> t_h or o_y <> y").select("side", F.col("o_doc").alias("t_doc"), F.col("o_h").alias("t_h"), F.col("o_y").alias("y"))
-    others = scratch.table(others, "others")
-    contexts = marked(contexts, F.col("side"), others, F.col("side"), "hit").where("hit").select("side", "doc_id", "h", "pos")
-    further = contexts.join(others, "side").where("doc_id <> t_doc or h <> t_h")
-    matches = matches.union(further.select(*matches.columns))
+    for side in ("left", "right"):
+        key = F.xxhash64("value", side)
+        others = shared.groupBy("value", side).agg(least, F.min(_key()).alias("one"), F.max(_key()).alias("two")).where("one <> two")
+        others = others.join(first.withColumnsRenamed({"t_doc": "f_doc", "t_h": "f_h", "y": "f_y"}), "value").select("value", side, *place, "f_doc", "f_h", "f_y")
+        others = others.where("t_doc <> f_doc or t_h <> f_h or y <> f_y").drop("f_doc", "f_h", "f_y")
+        others = scratch.table(others, f"others-{side}")
+        further = marked(shared, key, others, key, "hit").where("hit").join(others, ["value", side]).where("doc_id <> t_doc or h <> t_h")
+        matches = matches.union(further.select(*matches.columns))
     per_doc = matches.groupBy("doc_id", "h").agg(F.collect_list(F.struct("t_doc", "t_h", F.col("pos").alias("x"), "y")).alias("matches"))
     found = scratch.table(per_doc.mapInArrow(_chain, CHAINS), "chains")
-    scratch.drop("shared", "several", "first", "others")
+    scratch.drop("shared", "several", "first", "others-left", "others-right")
 
     # Tables again: a text that very many chains end in has its blocks dealt out, here and where they meet it.
     sizes = scratch.table(found.groupBy("t_doc", "t_h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes")
