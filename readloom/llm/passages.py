@@ -40,8 +40,11 @@ GAP_COST = 0.1  # per word, on either side; a match is worth its words
 MIN_CHAIN = 16  # words of a chain that may be part of a passage
 AGREE = 0.8  # share of a chain's words that must agree
 DROP = 12  # an extension ends once its score is that far below its best
+WEIGHT = AGREE / (1 - AGREE)  # words that agree for one that doesn't
+ROUNDS = 12  # edits that are tried for all ends of a batch together
 REACH = 64  # words of the earlier document kept beyond a chain's ends
 BLOCK = 256  # chains cut out of one copy of a document's text
+ALIGNED = 1 << 19  # bytes of text aligned at once
 
 
 def minimizers(values: np.ndarray, window: int) -> np.ndarray:
@@ -231,25 +234,25 @@ def extensions(one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
     """
     a, b = one.tolist(), two.tolist()
     n, m = len(a), len(b)
-    weight = AGREE / (1 - AGREE)
     front, edits = {0: (0, 0)}, 0  # diagonal -> words of one, those that don't agree
     top, top_strict, lenient, strict = 0.0, 0.0, (0, 0), (0, 0)
     while front:
-        now = {}
-        for d, (i, lost) in front.items():
+        now = []
+        for d in sorted(front):
+            i, lost = front[d]
             while i < n and i + d < m and a[i] == b[i + d]:
                 i += 1
             score = i + d / 2 - 3 * edits
-            if score < top - DROP:
-                continue
-            now[d] = (i, lost)
+            now.append((d, i, lost, score))
             if score > top:
                 top, lenient = score, (i, i - lost)
-            held = i - lost - weight * lost
+        front, edits = {}, edits + 1
+        for d, i, lost, score in now:
+            if score < top - DROP:
+                continue
+            held = i - lost - WEIGHT * lost
             if held > top_strict:
                 top_strict, strict = held, (i, i - lost)
-        front, edits = {}, edits + 1
-        for d, (i, lost) in now.items():
             for to, j, less in ((d, i + 1, lost + 1), (d - 1, i + 1, lost + 1), (d + 1, i, lost)):
                 if j <= n and 0 <= j + to <= m and (to not in front or (j, -less) > (front[to][0], -front[to][1])):
                     front[to] = (j, less)
@@ -261,8 +264,64 @@ def extend(one: np.ndarray, two: np.ndarray) -> int:
     return extensions(one, two)[0][0]
 
 
-def align(own: np.ndarray, other: np.ndarray, low: int, xs: list[int], ys: list[int], sizes: list[int]) -> list[tuple[int, int]]:
-    """The words of ``own`` that a chain covers once aligned with ``other`` (words from ``low`` on); nothing where too few agree."""
+def extensions_of_all(own: np.ndarray, other: np.ndarray, a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray, step: int) -> np.ndarray:
+    """``extensions`` of many runs: row k is (lenient words, agreeing; strict words, agreeing).
+
+    Run k has n[k] words of ``own`` from a[k] on and m[k] of ``other`` from
+    b[k] on, both in direction ``step``. Most ends stop agreeing after a few
+    edits: ``ROUNDS`` of them are made for all runs together, and only runs that
+    still go on are taken one by one.
+    """
+    out = np.zeros((len(a), 4), np.int64)
+    at = np.arange(len(a))  # runs that go on
+    top, top_strict = np.zeros(len(a)), np.zeros(len(a))
+    i, lost = np.zeros((len(a), 1), np.int64), np.zeros((len(a), 1), np.int64)  # a column a diagonal; -1: not there
+    for edits in range(ROUNDS):
+        d = np.arange(-edits, edits + 1)
+        row, col = np.nonzero(i >= 0)
+        place, diagonal, run = i[row, col], d[col], at[row]
+        going = np.flatnonzero((place < n[run]) & (place + diagonal < m[run]))
+        while len(going):
+            r, p = run[going], place[going]
+            going = going[own[a[r] + step * p] == other[b[r] + step * (p + diagonal[going])]]
+            place[going] += 1
+            going = going[(place[going] < n[run[going]]) & (place[going] + diagonal[going] < m[run[going]])]
+        i[row, col] = place
+        score = np.where(i >= 0, i + d / 2 - 3 * edits, -np.inf)
+        held = np.where(i >= 0, i - lost - WEIGHT * lost, -np.inf)
+        lines = np.arange(len(at))
+        pick = score.argmax(axis=1)
+        better = score[lines, pick] > top[at]
+        top[at] = np.maximum(top[at], score[lines, pick])
+        out[at[better], 0], out[at[better], 1] = i[lines, pick][better], (i - lost)[lines, pick][better]
+        stay = score >= top[at][:, None] - DROP
+        held[~stay] = -np.inf
+        pick = held.argmax(axis=1)
+        better = held[lines, pick] > top_strict[at]
+        top_strict[at] = np.maximum(top_strict[at], held[lines, pick])
+        out[at[better], 2], out[at[better], 3] = i[lines, pick][better], (i - lost)[lines, pick][better]
+
+        best = np.full((len(at), 2 * edits + 3), -1, np.int64)  # furthest first, then the least lost, in one number
+        to = np.arange(-edits - 1, edits + 2)
+        for shift, own_word in ((1, 1), (0, 1), (2, 0)):  # another word, one more, one less
+            j, less = i + own_word, lost + own_word
+            into = to[shift : shift + 2 * edits + 1]
+            fine = stay & (j <= n[at][:, None]) & (j + into >= 0) & (j + into <= m[at][:, None])
+            part = best[:, shift : shift + 2 * edits + 1]
+            np.maximum(part, np.where(fine, (j << 20) + (1 << 20) - 1 - less, -1), out=part)
+        on = (best >= 0).any(axis=1)
+        at, best = at[on], best[on]
+        i = np.where(best >= 0, best >> 20, -1)
+        lost = np.where(best >= 0, (1 << 20) - 1 - (best & ((1 << 20) - 1)), 0)
+    for k in at.tolist():
+        one = own[a[k] : a[k] + n[k]] if step > 0 else own[a[k] - n[k] + 1 : a[k] + 1][::-1]
+        two = other[b[k] : b[k] + m[k]] if step > 0 else other[b[k] - m[k] + 1 : b[k] + 1][::-1]
+        (out[k, 0], out[k, 1]), (out[k, 2], out[k, 3]) = extensions(one, two)
+    return out
+
+
+def stretches(own: np.ndarray, other: np.ndarray, low: int, xs: list[int], ys: list[int], sizes: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """The parts of a chain that agree well enough once aligned: start and end in ``own``, start and end in ``other`` (words from ``low`` on), words that agree."""
     ys = [y - low for y in ys]
     gaps, twice = [(0, 0)], [0]  # before each piece: words of a gap, those that agree; words it shares with the piece before
     for i in range(1, len(xs)):
@@ -278,16 +337,26 @@ def align(own: np.ndarray, other: np.ndarray, low: int, xs: list[int], ys: list[
         if match < AGREE * (end - start):
             cut = max(range(i + 1, j), key=lambda k: gaps[k][0] - gaps[k][1] + twice[k])
             todo += [(i, cut), (cut, j)]
-            continue
-        left = extensions(own[max(0, start - 2 * REACH) : start][::-1], other[: ys[i]][::-1])
-        right = extensions(own[end : end + 2 * REACH], other[y_end:])
-        pick = 0 if match + left[0][1] + right[0][1] >= AGREE * (end - start + left[0][0] + right[0][0]) else 1
-        start, end = start - left[pick][0], end + right[pick][0]
-        if end - start >= MIN_CHAIN:
-            found.append((start, end))
+        else:
+            found.append((start, end, ys[i], y_end, match))
     return found
 
 
+def extended(own: np.ndarray, other: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of stretches once both ends are extended.
+
+    Rows: where the text begins and ends in ``own``, where the part begins and
+    ends in ``other``, and the five numbers of ``stretches``.
+    """
+    text, text_end, part, part_end, start, end, y, y_end, match = rows.T
+    n, m = np.minimum(start, 2 * REACH), y
+    left = extensions_of_all(own, other, text + start - 1, n, part + y - 1, m, -1)
+    n, m = np.minimum(text_end - text - end, 2 * REACH), part_end - part - y_end
+    right = extensions_of_all(own, other, text + end, n, part + y_end, m, 1)
+    whole = match + left[:, 1] + right[:, 1] >= AGREE * (end - start + left[:, 0] + right[:, 0])
+    return start - np.where(whole, left[:, 0], left[:, 2]), end + np.where(whole, right[:, 0], right[:, 2])
+
+
 def merge(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """Union of spans; unions of at least ``least`` words."""
     out: list[list[int]] = []
@@ -305,31 +374,54 @@ SPANS = "doc_id long, h long, n_words long, spans array<struct<start:int,end:int
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, h, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("text").to_pylist(), batch.column("chains").to_pylist()):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                own, starts, _, _ = words(raw, np.array([0, len(raw)]))
-                parts = pa.array([c["part"] for c in found], pa.string())
-                others, _, _, first = words(*text_buffer(parts))
-                by_document: dict[tuple, list] = {}
-                for i, c in enumerate(found):
-                    for xs, ys, sizes in zip(c["x"], c["y"], c["size"]):
-                        by_document.setdefault((c["t_doc"], c["t_h"]), []).extend(align(own, others[first[i] : first[i + 1]], c["low"], xs, ys, sizes))
-                spans = merge([span for spans in by_document.values() for span in merge(spans, least)], least)
-                if spans:
-                    data, kept, at = raw.tobytes(), [], 0
-                    for a, b in spans:
-                        kept.append(data[at : starts[a]])
-                        at = int(starts[b]) if b < len(starts) else len(data)
-                    kept.append(data[at:])
-                    out.append((doc_id, h, len(starts), [{"start": a, "end": b} for a, b in spans], b"".join(kept).decode()))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "h", "n_words", "spans", "kept_text"])
+            for rows in row_groups(batch, "text", ALIGNED):
+                yield from _aligned(rows, least)
 
     return run
 
 
+def _aligned(rows: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    raw, bounds = text_buffer(rows.column("text"))
+    own, starts, _, first = words(raw, bounds)
+    chains_of = rows.column("chains")
+    flat, per_row = chains_of.flatten(), np.concatenate([[0], np.cumsum(chains_of.value_lengths().to_numpy())])
+    other, _, _, part_first = words(*text_buffer(flat.field("part")))
+    t_doc, t_h, low = (flat.field(c).to_pylist() for c in ("t_doc", "t_h", "low"))
+    lists = [flat.field(c).to_pylist() for c in ("x", "y", "size")]
+    todo, whose = [], []
+    for k in range(rows.num_rows):
+        a, b = int(first[k]), int(first[k + 1])
+        for i in range(int(per_row[k]), int(per_row[k + 1])):
+            p, q = int(part_first[i]), int(part_first[i + 1])
+            for xs, ys, sizes in zip(*(column[i] for column in lists)):
+                for stretch in stretches(own[a:b], other[p:q], low[i], xs, ys, sizes):
+                    todo.append((a, b, p, q, *stretch))
+                    whose.append((k, t_doc[i], t_h[i]))
+    if not todo:
+        return
+    by_document: dict[tuple, list] = {}
+    for key, start, end in zip(whose, *(x.tolist() for x in extended(own, other, np.array(todo, np.int64)))):
+        if end - start >= MIN_CHAIN:
+            by_document.setdefault(key, []).append((start, end))
+    passages: dict[int, list] = {}
+    for (k, _, _), found in by_document.items():
+        passages.setdefault(k, []).extend(merge(found, least))
+    out = []
+    for k in sorted(passages):
+        spans = merge(passages[k], least)
+        if spans:
+            data, kept, at = raw[bounds[k] : bounds[k + 1]].tobytes(), [], 0
+            word = starts[first[k] : first[k + 1]] - bounds[k]
+            for a, b in spans:
+                kept.append(data[at : word[a]])
+                at = int(word[b]) if b < len(word) else len(data)
+            kept.append(data[at:])
+            out.append((rows.column("doc_id")[k].as_py(), rows.column("h")[k].as_py(), len(word), [{"start": a, "end": b} for a, b in spans], b"".join(kept).decode()))
+    if out:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "h", "n_words", "spans", "kept_text"])
+
+
 NO_ID = 2**63 - 1
 
 

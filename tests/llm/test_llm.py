@@ -477,6 +477,23 @@ def test_chains_are_collinear_and_best():
             assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:]))
 
 
+def test_ends_extended_together_are_those_extended_one_by_one():
+    rng, own, other, at = random.Random(26), [], [], []
+    for _ in range(300):
+        one = [rng.randrange(rng.choice([5, 400])) for _ in range(rng.choice([0, 3, 40, 128]))]
+        rate, two = rng.choice([0, 0.05, 0.3, 0.7]), []
+        for w in one:
+            two += [w] if rng.random() >= rate else rng.choice([[], [999], [w, 998]])
+        at.append((len(own), len(one), len(other), len(two)))
+        own, other = own + one, other + two
+    own, other, (a, n, b, m) = np.array(own), np.array(other), np.array(at).T
+    ahead, back = passages.extensions_of_all(own, other, a, n, b, m, 1), passages.extensions_of_all(own, other, a + n - 1, n, b + m - 1, m, -1)
+    for k, (i, size, j, length) in enumerate(at):
+        one, two = own[i : i + size], other[j : j + length]
+        assert sum(passages.extensions(one, two), ()) == tuple(ahead[k])
+        assert sum(passages.extensions(one[::-1], two[::-1]), ()) == tuple(back[k])
+
+
 def test_alignment_helpers():
     a = np.array([1, 2, 3, 4, 5, 6])
     assert passages.agreeing(a, np.array([1, 9, 3, 5, 6])) == 4 and passages.extend(a, np.array([1, 2, 3, 9, 9, 9])) == 3
