@@ -44,7 +44,7 @@ WEIGHT = AGREE / (1 - AGREE)  # words that agree for one that doesn't
 ROUNDS = 12  # edits that are tried for all ends of a batch together
 REACH = 64  # words of the earlier document kept beyond a chain's ends
 BLOCK = 256  # chains cut out of one copy of a document's text
-ALIGNED = 1 << 19  # bytes of text aligned at once
+ALIGNED = 1 << 20  # bytes of text aligned at once
 
 
 def minimizers(values: np.ndarray, window: int) -> np.ndarray:
@@ -180,7 +180,16 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t_doc, t_h, x, y = t_doc[new], t_h[new], x[new], y[new]
             cut = np.flatnonzero(np.concatenate([[True], (t_doc[1:] != t_doc[:-1]) | (t_h[1:] != t_h[:-1])]))
             number = 0
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(x)]):
+            breaks = np.ones(len(x), bool)
+            breaks[1:] = ((x - y)[1:] != (x - y)[:-1]) | (x[1:] > x[:-1] + SEED)
+            breaks[cut] = True
+            whole = np.add.reduceat(breaks, cut, dtype=np.int64) == 1  # groups that are one piece need no tree
+            for a, b, single in zip(cut.tolist(), [*cut[1:].tolist(), len(x)], whole.tolist()):
+                if single:
+                    px, py, length = int(x[a]), int(y[a]), int(x[b - 1] - x[a]) + SEED
+                    out.append((doc_id, h, number, int(t_doc[a]), int(t_h[a]), max(0, py - REACH), py + length + REACH, [[px]], [[py]], [[length]]))
+                    number += 1
+                    continue
                 held: list[list] = []  # low, high, chains: those whose words of the earlier document overlap share them
                 for chain in sorted(chains(x[a:b], y[a:b]), key=lambda c: c[0][1]):
                     low, high = max(0, chain[0][1] - REACH), chain[-1][1] + chain[-1][2] + REACH
@@ -383,26 +392,31 @@ def _align(least: int):
 def _aligned(rows: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
     raw, bounds = text_buffer(rows.column("text"))
     own, starts, _, first = words(raw, bounds)
-    chains_of = rows.column("chains")
-    flat, per_row = chains_of.flatten(), np.concatenate([[0], np.cumsum(chains_of.value_lengths().to_numpy())])
-    other, _, _, part_first = words(*text_buffer(flat.field("part")))
-    t_doc, t_h, low = (flat.field(c).to_pylist() for c in ("t_doc", "t_h", "low"))
-    lists = [flat.field(c).to_pylist() for c in ("x", "y", "size")]
-    todo, whose = [], []
-    for k in range(rows.num_rows):
-        a, b = int(first[k]), int(first[k + 1])
-        for i in range(int(per_row[k]), int(per_row[k + 1])):
-            p, q = int(part_first[i]), int(part_first[i + 1])
-            for xs, ys, sizes in zip(*(column[i] for column in lists)):
-                for stretch in stretches(own[a:b], other[p:q], low[i], xs, ys, sizes):
-                    todo.append((a, b, p, q, *stretch))
-                    whose.append((k, t_doc[i], t_h[i]))
-    if not todo:
-        return
+    found = rows.column("chains")
+    part = found.flatten()
+    other, _, _, part_first = words(*text_buffer(part.field("part")))
+    row_of_part = np.repeat(np.arange(rows.num_rows), found.value_lengths().to_numpy())
+    x, y, size = (part.field(c).flatten() for c in ("x", "y", "size"))  # a list of pieces a chain
+    part_of = np.repeat(np.arange(len(part)), part.field("x").value_lengths().to_numpy())
+    row_of, low, pieces = row_of_part[part_of], part.field("low").to_numpy()[part_of], x.value_lengths().to_numpy()
+    x, y, size = (c.flatten().to_numpy().astype(np.int64) for c in (x, y, size))
+    begins = np.cumsum(pieces) - pieces
+    where = np.stack([first[row_of], first[row_of + 1], part_first[part_of], part_first[part_of + 1]], axis=1)
+    one = np.flatnonzero(pieces == 1)  # nothing to align between pieces
+    xs, ys, sizes = x[begins[one]], y[begins[one]] - low[one], size[begins[one]]
+    todo, whose = [np.column_stack([where[one], xs, xs + sizes, ys, ys + sizes, sizes])], [one]
+    for k in np.flatnonzero(pieces > 1).tolist():
+        (a, b, p, q), these = where[k].tolist(), slice(begins[k], begins[k] + pieces[k])
+        kept = stretches(own[a:b], other[p:q], int(low[k]), x[these].tolist(), y[these].tolist(), size[these].tolist())
+        todo.append(np.column_stack([np.tile(where[k], (len(kept), 1)), np.array(kept, np.int64)]))
+        whose.append(np.full(len(kept), k))
+    chain = np.concatenate(whose)
+    start, end = extended(own, other, np.concatenate(todo))
+    long = np.flatnonzero(end - start >= MIN_CHAIN)
+    t_doc, t_h = part.field("t_doc").to_numpy(), part.field("t_h").to_numpy()
     by_document: dict[tuple, list] = {}
-    for key, start, end in zip(whose, *(x.tolist() for x in extended(own, other, np.array(todo, np.int64)))):
-        if end - start >= MIN_CHAIN:
-            by_document.setdefault(key, []).append((start, end))
+    for k, i, a, b in zip(row_of[chain[long]].tolist(), part_of[chain[long]].tolist(), start[long].tolist(), end[long].tolist()):
+        by_document.setdefault((k, int(t_doc[i]), int(t_h[i])), []).append((a, b))
     passages: dict[int, list] = {}
     for (k, _, _), found in by_document.items():
         passages.setdefault(k, []).extend(merge(found, least))
