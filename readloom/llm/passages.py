@@ -167,43 +167,57 @@ def chains(x: np.ndarray, y: np.ndarray, size: int = SEED, cost: float = GAP_COS
 CHAINS = "doc_id long, h long, part_no int, t_doc long, t_h long, low int, high int, x array<array<int>>, y array<array<int>>, size array<array<int>>"
 
 
+def _held(part: list[list[tuple[int, int, int]]]) -> list[list]:
+    """low, high, chains: those whose words of the earlier document overlap share them."""
+    held: list[list] = []
+    for chain in sorted(part, key=lambda c: c[0][1]):
+        low, high = max(0, chain[0][1] - REACH), chain[-1][1] + chain[-1][2] + REACH
+        if held and low < held[-1][1]:
+            held[-1][1] = max(held[-1][1], high)
+            held[-1][2].append(chain)
+        else:
+            held.append([low, high, [chain]])
+    return held
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains of each pair of documents. Pairs whose matches are one piece, most of them, are handled as arrays."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.list_(pa.list_(pa.int32()))] * 3
+    names = ["doc_id", "h", "part_no", "t_doc", "t_h", "low", "high", "x", "y", "size"]
     for batch in batches:
+        doc_id, h, matches = (batch.column(c) for c in ("doc_id", "h", "matches"))
+        doc_id, h, got = doc_id.to_numpy(), h.to_numpy(), matches.flatten()
+        row = np.repeat(np.arange(len(doc_id)), matches.value_lengths().to_numpy())
+        if not len(row):
+            continue
+        t_doc, t_h, x, y = (got.field(c).to_numpy().astype(np.int64) for c in ("t_doc", "t_h", "x", "y"))
+        order = np.lexsort((y, x, t_h, t_doc, row))
+        row, t_doc, t_h, x, y = (c[order] for c in (row, t_doc, t_h, x, y))
+        begin = np.ones(len(x), bool)  # of a pair
+        begin[1:] = (row[1:] != row[:-1]) | (t_doc[1:] != t_doc[:-1]) | (t_h[1:] != t_h[:-1])
+        breaks = begin.copy()  # of a piece
+        breaks[1:] |= ((x - y)[1:] != (x - y)[:-1]) | (x[1:] > x[:-1] + SEED)
+        cut = np.flatnonzero(begin)
+        last = np.append(cut[1:], len(x)) - 1
+        single = np.add.reduceat(breaks, cut, dtype=np.int64) == 1
+        number = np.arange(len(cut)) - np.searchsorted(row[cut], row[cut])  # of a pair, within its document
+        a, z = cut[single], last[single]
+        if len(a):
+            inner = pa.array(np.arange(len(a) + 1, dtype=np.int32))
+            nested = [pa.ListArray.from_arrays(inner, pa.ListArray.from_arrays(inner, pa.array(c.astype(np.int32)))) for c in (x[a], y[a], x[z] - x[a] + SEED)]
+            flat = [doc_id[row[a]], h[row[a]], number[single], t_doc[a], t_h[a], np.maximum(0, y[a] - REACH), y[z] + SEED + REACH]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)] + nested, names=names)
         out: list[tuple] = []
-        for doc_id, h, matches in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), batch.column("matches")):
-            got = matches.values
-            t_doc, t_h = got.field("t_doc").to_numpy(zero_copy_only=False), got.field("t_h").to_numpy(zero_copy_only=False)
-            x, y = got.field("x").to_numpy().astype(np.int64), got.field("y").to_numpy().astype(np.int64)
-            order = np.lexsort((y, x, t_h, t_doc))
-            t_doc, t_h, x, y = t_doc[order], t_h[order], x[order], y[order]
-            new = np.concatenate([[True], (t_doc[1:] != t_doc[:-1]) | (t_h[1:] != t_h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            t_doc, t_h, x, y = t_doc[new], t_h[new], x[new], y[new]
-            cut = np.flatnonzero(np.concatenate([[True], (t_doc[1:] != t_doc[:-1]) | (t_h[1:] != t_h[:-1])]))
-            number = 0
-            breaks = np.ones(len(x), bool)
-            breaks[1:] = ((x - y)[1:] != (x - y)[:-1]) | (x[1:] > x[:-1] + SEED)
-            breaks[cut] = True
-            whole = np.add.reduceat(breaks, cut, dtype=np.int64) == 1  # groups that are one piece need no tree
-            for a, b, single in zip(cut.tolist(), [*cut[1:].tolist(), len(x)], whole.tolist()):
-                if single:
-                    px, py, length = int(x[a]), int(y[a]), int(x[b - 1] - x[a]) + SEED
-                    out.append((doc_id, h, number, int(t_doc[a]), int(t_h[a]), max(0, py - REACH), py + length + REACH, [[px]], [[py]], [[length]]))
-                    number += 1
-                    continue
-                held: list[list] = []  # low, high, chains: those whose words of the earlier document overlap share them
-                for chain in sorted(chains(x[a:b], y[a:b]), key=lambda c: c[0][1]):
-                    low, high = max(0, chain[0][1] - REACH), chain[-1][1] + chain[-1][2] + REACH
-                    if held and low < held[-1][1]:
-                        held[-1][1] = max(held[-1][1], high)
-                        held[-1][2].append(chain)
-                    else:
-                        held.append([low, high, [chain]])
-                for low, high, group in held:
-                    out.append((doc_id, h, number, int(t_doc[a]), int(t_h[a]), low, high, *([[piece[k] for piece in chain] for chain in group] for k in range(3))))
-                    number += 1
+        pairs = np.bincount(row[cut], minlength=len(doc_id))  # a further part of a pair takes a number behind those of all pairs
+        for a, z, k in zip(cut[~single].tolist(), last[~single].tolist(), number[~single].tolist()):
+            r = int(row[a])
+            fresh = np.ones(z + 1 - a, bool)
+            fresh[1:] = (x[a + 1 : z + 1] != x[a:z]) | (y[a + 1 : z + 1] != y[a:z])
+            for i, (low, high, group) in enumerate(_held(chains(x[a : z + 1][fresh], y[a : z + 1][fresh]))):
+                if i:
+                    k, pairs[r] = int(pairs[r]), pairs[r] + 1
+                out.append((int(doc_id[r]), int(h[r]), k, int(t_doc[a]), int(t_h[a]), low, high, *([[piece[n] for piece in chain] for chain in group] for n in range(3))))
         if out:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()] + [pa.list_(pa.list_(pa.int32()))] * 3
-            names = ["doc_id", "h", "part_no", "t_doc", "t_h", "low", "high", "x", "y", "size"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
