@@ -7,8 +7,8 @@
    three places: the first in the least document, the first with the same
    ``CONTEXT`` words before it and the first with the same words after it. Where
    the least document's copy ends inside a longer passage, a seed next to that
-   end leads on to a document that goes on. Pairs grow with occurrences, not
-   squares.
+   end leads on to a document that goes on; where a seed within that context
+   leads there anyway, it isn't joined. Pairs grow with occurrences, not squares.
 3. The matches of a document with an earlier one are chained in order, with a
    cost for gaps; a Fenwick tree holds the best chain up to each place, so a
    group of n matches takes n log n steps.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import row_groups, shingles, text_buffer, word_spans, words
@@ -42,7 +42,8 @@ AGREE = 0.8  # share of a chain's words that must agree
 DROP = 12  # an extension ends once its score is that far below its best
 WEIGHT = AGREE / (1 - AGREE)  # words that agree for one that doesn't
 ROUNDS = 12  # edits that are tried for all ends of a batch together
-REACH = 64  # words of the earlier document kept beyond a chain's ends
+REACH = 64  # words of the earlier document kept beyond a chain's ends, and CONTEXT more, as a seed beside its first or last may not be joined
+STEP = 3  # bits of a distance of at most WINDOW
 BLOCK = 256  # chains cut out of one copy of a document's text
 ALIGNED = 1 << 20  # bytes of text aligned at once
 
@@ -80,22 +81,36 @@ def beside(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs[at], runs[at + CONTEXT + SEED]
 
 
+def places(runs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the seeds at ``at``, each with its distances to the least of the ``WINDOW`` runs before and of those after it (0: fewer runs) in its low bits.
+
+    These are seeds themselves, in all texts with the same seed and the same context on that side, as the whole window lies within.
+    """
+    back, ahead = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    if len(runs) > WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(runs, WINDOW).argmin(axis=1)
+        before, after = at >= WINDOW, at + WINDOW < len(runs)
+        back[before] = WINDOW - least[at[before] - WINDOW]
+        ahead[after] = 1 + least[at[after] + 1]
+    return (at << 2 * STEP) | (back << STEP) | ahead
+
+
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in row_groups(batch, "text"):
-            value, row, pos, left, right = [], [], [], [], []
+            value, row, place, left, right = [], [], [], [], []
             for i, hashes, runs, at in _runs(rows):
                 value.append(runs[at])
                 row.append(np.full(len(at), i))
-                pos.append(at)
+                place.append(places(runs, at))
                 before, after = beside(hashes, at)
                 left.append(before)
                 right.append(after)
             if value:
                 take = pa.array(np.concatenate(row))
                 sides = [pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)]
-                columns = [pa.array(np.concatenate(value).view(np.int64)), rows.column("doc_id").take(take), rows.column("h").take(take), pa.array(np.concatenate(pos).astype(np.int32)), *sides]
-                yield pa.RecordBatch.from_arrays(columns, names=["value", "doc_id", "h", "pos", "left", "right"])
+                columns = [pa.array(np.concatenate(value).view(np.int64)), rows.column("doc_id").take(take), rows.column("h").take(take), pa.array(np.concatenate(place)), *sides]
+                yield pa.RecordBatch.from_arrays(columns, names=["value", "doc_id", "h", "place", "left", "right"])
 
 
 class Fenwick:
@@ -171,7 +186,7 @@ def _held(part: list[list[tuple[int, int, int]]]) -> list[list]:
     """low, high, chains: those whose words of the earlier document overlap share them."""
     held: list[list] = []
     for chain in sorted(part, key=lambda c: c[0][1]):
-        low, high = max(0, chain[0][1] - REACH), chain[-1][1] + chain[-1][2] + REACH
+        low, high = max(0, chain[0][1] - REACH - CONTEXT), chain[-1][1] + chain[-1][2] + REACH + CONTEXT
         if held and low < held[-1][1]:
             held[-1][1] = max(held[-1][1], high)
             held[-1][2].append(chain)
@@ -205,7 +220,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(a):
             inner = pa.array(np.arange(len(a) + 1, dtype=np.int32))
             nested = [pa.ListArray.from_arrays(inner, pa.ListArray.from_arrays(inner, pa.array(c.astype(np.int32)))) for c in (x[a], y[a], x[z] - x[a] + SEED)]
-            flat = [doc_id[row[a]], h[row[a]], number[single], t_doc[a], t_h[a], np.maximum(0, y[a] - REACH), y[z] + SEED + REACH]
+            flat = [doc_id[row[a]], h[row[a]], number[single], t_doc[a], t_h[a], np.maximum(0, y[a] - REACH - CONTEXT), y[z] + SEED + REACH + CONTEXT]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)] + nested, names=names)
         out: list[tuple] = []
         pairs = np.bincount(row[cut], minlength=len(doc_id))  # a further part of a pair takes a number behind those of all pairs
@@ -461,6 +476,32 @@ def _key():
     return F.xxhash64("doc_id", "h")
 
 
+def _word(place: str) -> Column:
+    return F.shiftright(place, 2 * STEP).cast("int")
+
+
+def _others(shared: DataFrame, first: DataFrame, side: str, least: Column, place: list[Column]) -> DataFrame:
+    """Of each seed and context that several texts have: the least place, unless it is the seed's first of all, and the place of a seed within that context (or itself)."""
+    step = F.shiftright("t.place", STEP if side == "left" else 0).bitwiseAND(F.lit((1 << STEP) - 1)).cast("int")
+    within = (_word("t.place") - step if side == "left" else _word("t.place") + step).alias("within")
+    found = shared.groupBy("value", side).agg(least, F.min(_key()).alias("one"), F.max(_key()).alias("two")).where("one <> two")
+    found = found.join(first.withColumnsRenamed({"t_doc": "f_doc", "t_h": "f_h", "y": "f_y"}), "value").select("value", side, *place, within, "f_doc", "f_h", "f_y")
+    return found.where("t_doc <> f_doc or t_h <> f_h or y <> f_y").drop("f_doc", "f_h", "f_y")
+
+
+def _not_led_to(others: DataFrame, first: DataFrame) -> DataFrame:
+    """``others`` without those in whose context a seed has its first place of all.
+
+    All texts with that seed and context have the other seed too, at the same
+    distance, so each is joined to this document on the same diagonal already,
+    at most ``CONTEXT`` words away, and the words between are equal. In a text that
+    goes on repeating a few words these are nearly all occurrences.
+    """
+    at = lambda y: F.xxhash64("t_doc", "t_h", y)
+    firsts = marked(first.select("t_doc", "t_h", F.col("y").alias("within")), at("within"), others, at("within"), "hit").where("hit").drop("hit")
+    return others.join(firsts, ["t_doc", "t_h", "within"], "left_anti")
+
+
 def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents that repeat passages of earlier ones: doc_id, h (hash of the text), n_words, spans (word positions, half open), kept_text.
 
@@ -475,24 +516,22 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     plain = _keyed(documents)
     several = plain.mapInArrow(_values, "value long").groupBy("value").count().where("count > 1").select("value")
     several = scratch.table(several, "several")  # a table: Spark splits hot keys of joins between plain shuffles only
-    seeds = plain.mapInArrow(_seeds, "value long, doc_id long, h long, pos int, left long, right long")
+    seeds = plain.mapInArrow(_seeds, "value long, doc_id long, h long, place long, left long, right long")
     seeds = marked(seeds, F.col("value"), several, F.col("value"), "hit").where("hit").drop("hit")
     shared = scratch.table(seeds.join(several, "value", "left_semi"), "shared")
-    least = F.min(F.struct("doc_id", "h", "pos")).alias("t")
-    place = [F.col("t.doc_id").alias("t_doc"), F.col("t.h").alias("t_h"), F.col("t.pos").alias("y")]
+    least = F.min(F.struct("doc_id", "h", "place")).alias("t")
+    place = [F.col("t.doc_id").alias("t_doc"), F.col("t.h").alias("t_h"), _word("t.place").alias("y")]
     first = scratch.table(shared.groupBy("value").agg(least).select("value", *place), "first")
-    matches = shared.join(first, "value").where("doc_id <> t_doc or h <> t_h").select("doc_id", "h", "t_doc", "t_h", "pos", "y")
+    matches = shared.join(first, "value").where("doc_id <> t_doc or h <> t_h").select("doc_id", "h", "t_doc", "t_h", _word("place").alias("x"), "y")
     for side in ("left", "right"):
         key = F.xxhash64("value", side)
-        others = shared.groupBy("value", side).agg(least, F.min(_key()).alias("one"), F.max(_key()).alias("two")).where("one <> two")
-        others = others.join(first.withColumnsRenamed({"t_doc": "f_doc", "t_h": "f_h", "y": "f_y"}), "value").select("value", side, *place, "f_doc", "f_h", "f_y")
-        others = others.where("t_doc <> f_doc or t_h <> f_h or y <> f_y").drop("f_doc", "f_h", "f_y")
-        others = scratch.table(others, f"others-{side}")
+        others = scratch.table(_others(shared, first, side, least, place), f"further-{side}")
+        others = scratch.table(_not_led_to(others, first).select("value", side, "t_doc", "t_h", "y"), f"others-{side}")
         further = marked(shared, key, others, key, "hit").where("hit").join(others, ["value", side]).where("doc_id <> t_doc or h <> t_h")
-        matches = matches.union(further.select(*matches.columns))
-    per_doc = matches.groupBy("doc_id", "h").agg(F.collect_list(F.struct("t_doc", "t_h", F.col("pos").alias("x"), "y")).alias("matches"))
+        matches = matches.union(further.withColumn("x", _word("place")).select(*matches.columns))
+    per_doc = matches.groupBy("doc_id", "h").agg(F.collect_list(F.struct("t_doc", "t_h", "x", "y")).alias("matches"))
     found = scratch.table(per_doc.mapInArrow(_chain, CHAINS), "chains")
-    scratch.drop("shared", "several", "first", "others-left", "others-right")
+    scratch.drop("shared", "several", "first", "further-left", "further-right", "others-left", "others-right")
 
     # Tables again: a text that very many chains end in has its blocks dealt out, here and where they meet it.
     sizes = scratch.table(found.groupBy("t_doc", "t_h").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes")

@@ -466,6 +466,48 @@ def test_exact_passages_against_brute_force(spark):
         assert (found | ~must).all(), i
 
 
+def test_seeds_within_a_context_are_seeds_of_all_texts_that_have_it():
+    rng, met = np.random.default_rng(26), 0
+    for vocab in (2, 3, 1000):
+        for _ in range(200):
+            word = rng.integers(0, 2**63, vocab).astype(np.uint64)
+            core = rng.integers(0, vocab, 40)
+            texts = [word[np.concatenate([rng.integers(0, vocab, rng.integers(0, 9)), core, rng.integers(0, vocab, rng.integers(0, 9))])] for _ in range(2)]
+            runs = [passages.shingles(t, passages.SEED) for t in texts]
+            seeds = [passages.minimizers(r, passages.WINDOW) for r in runs]
+            sides = [passages.beside(t, at) for t, at in zip(texts, seeds)]
+            place, bits = passages.places(runs[0], seeds[0]), (1 << passages.STEP) - 1
+            assert (place >> 2 * passages.STEP == seeds[0]).all()
+            for side, step in ((0, -(place >> passages.STEP & bits)), (1, place & bits)):
+                for i, k in enumerate(step.tolist()):
+                    for j in np.flatnonzero((runs[1][seeds[1]] == runs[0][seeds[0][i]]) & (sides[1][side] == sides[0][side][i])):
+                        at = seeds[1][j] + k
+                        assert seeds[0][i] + k in seeds[0] and at in seeds[1] and runs[1][at] == runs[0][seeds[0][i] + k]
+                        met += k != 0
+    assert met > 5_000
+
+
+def test_joined_seeds_of_texts_that_go_on_repeating_a_few_words(spark, monkeypatch):
+    rng, tables, table = random.Random(27), {}, passages.Scratch.table
+    texts = [fresh(rng, 20) + ["is", "so"] * 150 + fresh(rng, 20) for _ in range(20)]
+    monkeypatch.setattr(passages.Scratch, "table", lambda self, df, name: tables.setdefault(name, table(self, df, name)))
+    monkeypatch.setattr(passages.Scratch, "drop", lambda *_: None)
+    assert spans_of(spark, texts) == {i: [(20, 320)] for i in range(1, 20)}
+    for side in ("left", "right"):  # few, and not each of the 150 occurrences a text
+        assert tables["shared"].join(tables[f"others-{side}"], ["value", side]).count() <= 10 * len(texts)
+
+
+def test_seeds_that_are_not_joined_lose_nothing(spark, monkeypatch):
+    rng, texts = random.Random(28), []
+    pool = [fresh(rng, rng.randint(30, 90)) for _ in range(10)] + [["is", "so"] * 60, ["is", "so", "it"] * 40]
+    for _ in range(60):
+        text = [w for _ in range(rng.randint(1, 4)) for w in (rng.choice(pool) if rng.random() < 0.6 else fresh(rng, rng.randint(5, 40)))]
+        texts.append([fresh(rng, 1)[0] if rng.random() < 0.04 else w for w in text])
+    got = spans_of(spark, texts)
+    monkeypatch.setattr(passages, "_not_led_to", lambda others, first: others)
+    assert got == spans_of(spark, texts) and len(got) > 30
+
+
 def test_chains_are_collinear_and_best():
     rng = random.Random(4)
     for _ in range(50):
