@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.cigar import span
 from ..functions.flags import has
-from ..sources.shared import resolve
+from ..sources.shared import concatenate
 from .regions import clip
 
 BIN = 1 << 14
@@ -98,13 +98,8 @@ def in_header_order(rows: DataFrame, ref_seqs: DataFrame, then: str) -> DataFram
 def write_bed_gz(runs: DataFrame, path: str) -> None:
     """chr, start, end, depth as tab-separated lines, in the order of ``runs``: one gzip file. Tasks compress, the writer joins their members."""
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            text = "".join(line + "\n" for line in batch.column("value").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(text.encode())], pa.binary())], names=["member"])
-
-    lines = runs.select(F.concat_ws("\t", "chr", *[F.col(c).cast("string") for c in ("start", "end", "depth")]).alias("value"))
-    system, target = resolve(path)
-    with system.open_output_stream(target, compression=None) as out:
-        for row in lines.mapInArrow(compress, "member binary").toLocalIterator():
-            out.write(bytes(row["member"]))
+            yield gzip.compress("".join(line + "\n" for line in batch.column("value").to_pylist()).encode())
+
+    concatenate(runs.select(F.concat_ws("\t", "chr", *[F.col(c).cast("string") for c in ("start", "end", "depth")]).alias("value")), compress, path)

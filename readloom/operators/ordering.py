@@ -76,5 +76,10 @@ def permutation(alignments: DataFrame, by: str = "coordinate") -> DataFrame:
 
 
 def gather(alignments: DataFrame, index: DataFrame) -> DataFrame:
-    """Rows with the rank that a permutation gives them."""
-    return alignments.join(index.select("rank", "ordinal"), "ordinal")
+    """Rows with the rank that a permutation gives them.
+
+    A permutation has as many rows as the alignments, but one that was read
+    from its file has no statistics and seems tiny. It must not be broadcast,
+    so both sides are sorted and merged, which spills.
+    """
+    return alignments.join(index.select("rank", "ordinal").hint("merge"), "ordinal")

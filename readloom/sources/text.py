@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import resolve
+from .shared import concatenate, resolve
 
 REGION = r"^([^:]+):(\d+)-(\d+)$"
 CHUNK = 4 << 20  # bytes of a permutation file read at once
@@ -71,34 +71,25 @@ def read_marks(spark: SparkSession, path: str) -> DataFrame:
 def write_marks(marks: DataFrame, path: str) -> None:
     """Marks by ordinal, one line each, in one file."""
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            yield _piece("".join(f"{m}\n" for m in batch.column("mark").to_pylist()).encode())
+            yield "".join(f"{m}\n" for m in batch.column("mark").to_pylist()).encode()
 
-    _concatenate(marks, "ordinal", joined, path)
+    concatenate(_in_order(marks, "ordinal"), joined, path)
 
 
 def write_permutation(index: DataFrame, path: str) -> None:
     """Ordinals by rank, as a file of little-endian unsigned 32-bit integers (the exchange format; Parquet is the usual store)."""
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            yield _piece(batch.column("ordinal").to_numpy().astype("<u4").tobytes())
+            yield batch.column("ordinal").to_numpy().astype("<u4").tobytes()
 
-    _concatenate(index, "rank", packed, path)
+    concatenate(_in_order(index, "rank"), packed, path)
 
 
-def _piece(data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["piece"])
-
-
-def _concatenate(rows: DataFrame, order: str, encode, path: str) -> None:
-    """Tasks sort and encode; the writer only joins their pieces, one partition at a time."""
-    pieces = rows.repartitionByRange(order).sortWithinPartitions(order).mapInArrow(encode, "piece binary")
-    system, target = resolve(path)
-    with system.open_output_stream(target, compression=None) as out:
-        for row in pieces.toLocalIterator():
-            out.write(bytes(row["piece"]))
+def _in_order(rows: DataFrame, order: str) -> DataFrame:
+    return rows.repartitionByRange(order).sortWithinPartitions(order)
 
 
 def read_permutation(spark: SparkSession, path: str) -> DataFrame:

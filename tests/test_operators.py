@@ -252,3 +252,42 @@ def test_store_round_trip(spark, tmp_path):
         store.codec("nope")
     with pytest.raises(ValueError):
         ordering.spill_options("tape")
+
+
+# --- many rows ---------------------------------------------------------------
+
+
+def test_a_permutation_from_its_file_is_never_broadcast(spark, tmp_path):
+    """It has no statistics, so it seems tiny whatever its length."""
+    rows, path = frame(spark, reads(7)), str(tmp_path / "x.idx")
+    text.write_permutation(ordering.permutation(rows.withColumn("tags", F.array()), "name"), path)
+    joined = ordering.gather(rows, text.read_permutation(spark, path))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [r["ordinal"] for r in joined.orderBy("rank").collect()] == [r[0] for r in sorted(reads(7), key=lambda r: (r[6], r[0]))]
+
+
+@pytest.fixture
+def many_tasks(spark, monkeypatch):
+    """No rows through an iterator that runs one task after another; as many tasks as partitions."""
+
+    def never(*_, **__):
+        raise AssertionError("one task at a time")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", never)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_all_tasks_encode_other_files_at_once(spark, tmp_path, many_tasks):
+    path = str(tmp_path / "x")
+    text.write_permutation(spark.range(5000).select(F.col("id").alias("rank"), (4999 - F.col("id")).alias("ordinal")), path)
+    assert open(path, "rb").read() == struct.pack("<5000I", *range(4999, -1, -1))
+    text.write_marks(spark.range(5000).select(F.col("id").alias("ordinal"), (F.col("id") % 7).cast("string").alias("mark")), path)
+    assert open(path).read() == "".join(f"{i % 7}\n" for i in range(5000))
+    runs = spark.range(5000).select(F.lit("a").alias("chr"), F.col("id").alias("start"), (F.col("id") + 1).alias("end"), F.lit(2).alias("depth"))
+    depth.write_bed_gz(runs.orderBy("start"), path)
+    import gzip
+
+    assert gzip.open(path, "rt").read() == "".join(f"a\t{i}\t{i + 1}\t2\n" for i in range(5000))
