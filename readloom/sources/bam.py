@@ -17,17 +17,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
 from . import bgzf
-from .shared import resolve
+from .shared import concatenate, pieces, resolve
 
 MAGIC = b"BAM\x01"
 CHECKED = 8  # records that must be well-formed for a place to count as a record's beginning
 SPLIT = 32 << 20
+TASKS = 200  # a file of short runs is read by about so many tasks, unless each then had more than SPLIT bytes
 SOURCE_SCHEMA = "path string, split int, place long, " + S.ALIGNMENTS.removeprefix("ordinal long, ")
 
 SCALARS = {"A": "c", "c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
@@ -206,6 +208,169 @@ def decode_records(bodies: list[bytes], fields: set[str]) -> dict[str, pa.Array]
     return out
 
 
+ENCODED = 8 << 20  # bytes of columns encoded at once
+
+
+class _Odd(Exception):
+    """Values that are left to ``encode_record``."""
+
+
+def encode_records(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of a batch, of about ``ENCODED`` bytes, and the records of their rows; encoded column by column, the same bytes as ``encode_record``."""
+    step = max(1, batch.num_rows * ENCODED // max(batch.nbytes, 1))
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        try:
+            yield part, _encode_columns(part)
+        except _Odd:
+            records = [encode_record(r) for r in part.to_pylist()]
+            ends = np.cumsum([0, *map(len, records)])
+            yield part, _binary(np.frombuffer(b"".join(records), np.uint8), ends)
+
+
+def _binary(buf: np.ndarray, ends: np.ndarray) -> pa.Array:
+    if ends[-1] > 0x7FFFFFFF:
+        raise ValueError(f"records of {ends[-1]} bytes in one part of a batch")
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buf.tobytes())])
+
+
+def _flat(column: pa.Array, ascii_only: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text or binary column, one value after the other, and the sizes of the values (null: 0)."""
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    if ascii_only and len(data) and data.max() > 127:
+        raise _Odd
+    return data, np.diff(ends)
+
+
+def _numbers(column: pa.Array, low: int, high: int) -> np.ndarray:
+    if column.null_count:
+        raise _Odd
+    values = column.cast(pa.int64()).to_numpy(zero_copy_only=False)
+    if len(values) and (values.min() < low or values.max() > high):
+        raise _Odd
+    return values
+
+
+def _items(column: pa.Array, names: tuple[str, ...]) -> tuple[np.ndarray, list[pa.Array]]:
+    """Number of items of each list (null: 0), and the fields of all items."""
+    counts = pc.list_value_length(column).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+    values = column.flatten()
+    kept = [values.flatten()[values.type.get_field_index(n)] for n in names]
+    if any(c.null_count for c in kept):
+        raise _Odd
+    return counts, kept
+
+
+def _place(buf: np.ndarray, starts: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> None:
+    buf[_spans(starts, sizes)[0]] = data
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of so many values each."""
+    ends = np.concatenate([[0], np.cumsum(values)])
+    at = np.concatenate([[0], np.cumsum(counts)])
+    return ends[at[1:]] - ends[at[:-1]]
+
+
+def _encode_tags(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all rows' tags, and the size of each row's; texts and whole numbers only."""
+    counts, (tag, kind, value) = _items(column, ("tag", "type", "value"))
+    if not len(tag):
+        return np.zeros(0, np.uint8), np.zeros(len(column), np.int64)
+    (tags, tag_sizes), (kinds, kind_sizes), (texts, text_sizes) = map(_flat, (tag, kind, value))
+    if (tag_sizes != 2).any() or (kind_sizes != 1).any():
+        raise _Odd
+    sizes = 3 + text_sizes + 1
+    text = np.isin(kinds, np.frombuffer(b"ZH", np.uint8))
+    numbers = []
+    for code in set(kinds[~text].tolist()):
+        kind_ = np.dtype("<i4" if chr(code) == "i" else "<" + SCALARS.get(chr(code), "c"))
+        if kind_.kind not in "iu":
+            raise _Odd
+        which = np.flatnonzero(kinds == code)
+        given = value.take(pa.array(which))
+        if not pc.all(pc.match_substring_regex(given, "^-?[0-9]{1,18}$")).as_py():
+            raise _Odd
+        limits = np.iinfo(kind_)
+        numbers.append((which, _numbers(given, limits.min, limits.max).astype(kind_)))
+        sizes[which] = 3 + kind_.itemsize
+    ends = np.cumsum(sizes)
+    at = ends - sizes
+    out = np.zeros(ends[-1], np.uint8)
+    out[at], out[at + 1], out[at + 2] = tags[0::2], tags[1::2], kinds
+    _place(out, at[text] + 3, texts[np.repeat(text, text_sizes)], text_sizes[text])
+    for which, values in numbers:
+        out[(at[which] + 3)[:, None] + np.arange(values.itemsize)] = values.view(np.uint8).reshape(-1, values.itemsize)
+    return out, _sums(sizes, counts)
+
+
+def _digit(letter: int) -> int:
+    """Four bits of a base, as ``encode_record`` translates it."""
+    digit = chr(letter).upper().translate(str.maketrans(S.BASES, "0123456789ABCDEF"))
+    return int(re.sub("[^0-9A-F]", "F", digit), 16)
+
+
+_DIGIT = np.array([_digit(c) for c in range(128)], np.uint8)
+_CODE = np.full(128, 255, np.uint8)
+_CODE[np.frombuffer(S.CIGAR_OPS.encode(), np.uint8)] = np.arange(len(S.CIGAR_OPS))
+
+
+def _encode_columns(rows: pa.RecordBatch) -> pa.Array:
+    n, there = rows.num_rows, set(rows.schema.names)
+    get = lambda c, kind: rows.column(c) if c in there else pa.nulls(n, kind)
+    name = get("read_name", pa.string())
+    names, name_sizes = _flat(pc.if_else(pc.equal(pc.binary_length(name), 0), "*", name).fill_null("*"))
+    if (name_sizes > 254).any():
+        raise _Odd
+    bases, l_seq = _flat(get("seq", pa.string()))
+    n_cigar, (op, length) = _items(get("cigar", KINDS["cigar"]), ("op", "len"))
+    ops, op_sizes = _flat(op)
+    if (op_sizes != 1).any() or (_CODE[ops] == 255).any() or (n_cigar > 0xFFFF).any():
+        raise _Odd
+    codes = (_numbers(length, 0, 0x0FFFFFFF) << 4 | _CODE[ops]).astype("<u4")
+    given = get("tags_raw", pa.binary())
+    if given.null_count == n:
+        tags, tag_sizes = _encode_tags(get("tags", KINDS["tags"]))
+    elif given.null_count:
+        raise _Odd
+    else:
+        tags, tag_sizes = _flat(given, ascii_only=False)
+    qual = get("qual", pa.binary())
+    quals, qual_sizes = _flat(qual, ascii_only=False)
+    some = qual.is_valid().to_numpy(zero_copy_only=False)
+    l_qual = np.where(some, qual_sizes, l_seq)
+
+    half = (l_seq + 1) // 2
+    cigar_at = 36 + name_sizes + 1
+    seq_at = cigar_at + 4 * n_cigar
+    qual_at = seq_at + half
+    tags_at = qual_at + l_qual
+    sizes = tags_at + tag_sizes
+    if len(sizes) and sizes.max() > 0xFFFFFFFF:
+        raise _Odd
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = ends[:-1]
+    head = np.zeros(n, np.dtype([("size", "<u4"), *HEAD.descr]))
+    head["size"], head["l_name"], head["n_cigar"], head["l_seq"] = sizes - 4, name_sizes + 1, n_cigar, l_seq
+    for c, low, high in (("mapq", 0, 0xFF), ("bin", 0, 0xFFFF), ("flag", 0, 0xFFFF), *((c, -(1 << 31), (1 << 31) - 1) for c in ("ref_id", "pos", "next_ref_id", "next_pos", "tlen"))):
+        head[c] = _numbers(rows.column(c), low, high)
+    buf = np.full(ends[-1], 255, np.uint8)  # what no quality is put over stays 255
+    buf[at[:, None] + np.arange(36)] = head.view(np.uint8).reshape(n, 36)
+    _place(buf, at + 36, names, name_sizes)
+    buf[at + cigar_at - 1] = 0
+    _place(buf, at + cigar_at, codes.view(np.uint8), 4 * n_cigar)
+    digits = np.zeros(2 * half.sum(), np.uint8)
+    _place(digits, 2 * (np.cumsum(half) - half), _DIGIT[bases], l_seq)
+    _place(buf, at + seq_at, digits[0::2] << 4 | digits[1::2], half)
+    _place(buf, (at + qual_at)[some], quals, qual_sizes[some])
+    _place(buf, at + tags_at, tags, tag_sizes)
+    return _binary(buf, ends)
+
+
 class _Inflated(io.RawIOBase):
     """The inflated bytes from a block on; ``block_of`` tells where the block of the last byte read begins."""
 
@@ -260,7 +425,7 @@ def read_header(uri: str) -> tuple[str, list[tuple[str, int]], tuple[int, int]]:
 
 
 @dataclass
-class Run(InputPartition):
+class Run:
     path: str
     split: int
     low: int
@@ -268,8 +433,15 @@ class Run(InputPartition):
     first: int  # place of the first record in block ``low``; -1: to be found
     n_refs: int
 
+
+@dataclass
+class Runs(InputPartition):
+    """The runs of one task."""
+
+    runs: list[Run]
+
     def __post_init__(self) -> None:
-        super().__init__((self.path, self.split))
+        super().__init__((self.runs[0].path, self.runs[0].split))
 
 
 class BamSource(DataSource):
@@ -313,8 +485,12 @@ class BamReader(DataSourceReader):
         if unknown := self.fields - set(KINDS):
             raise ValueError(f"no such fields: {sorted(unknown)}")
 
-    def partitions(self) -> list[Run]:
-        """Runs of about ``split_bytes``; only the header and one block border a run are read."""
+    def partitions(self) -> list[Runs]:
+        """Runs of about ``split_bytes``; only the header and one block border a run are read.
+
+        A task has several short runs of a long file, one after the other, so
+        that there are about ``TASKS`` tasks, or more of ``SPLIT`` bytes each.
+        """
         _, refs, (block, first) = read_header(self.path)
         system, path = resolve(self.path)
         size = system.get_file_info(path).size
@@ -324,7 +500,13 @@ class BamReader(DataSourceReader):
                 if wish > edges[-1] and (edge := self._edge(file, wish, size)) is not None and edge > edges[-1]:
                     edges.append(edge)
         edges.append(size)
-        return [Run(path, k, a, b, first if k == 0 else -1, len(refs)) for k, (a, b) in enumerate(zip(edges, edges[1:]))] or [Run(path, 0, block, size, first, len(refs))]
+        runs = [Run(path, k, a, b, first if k == 0 else -1, len(refs)) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+        a_task, tasks = max(self.split, min(SPLIT, size // TASKS)), []
+        for run in runs:
+            if not tasks or run.high - tasks[-1][0].low > a_task:
+                tasks.append([])
+            tasks[-1].append(run)
+        return [Runs(x) for x in tasks]
 
     @staticmethod
     def _edge(file, wish: int, size: int) -> int | None:
@@ -342,7 +524,11 @@ class BamReader(DataSourceReader):
             at = window.find(b"\x1f\x8b\x08\x04", at + 1)
         return None
 
-    def read(self, partition: Run) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Runs) -> Iterator[pa.RecordBatch]:
+        for run in partition.runs:
+            yield from self._read(run)
+
+    def _read(self, partition: Run) -> Iterator[pa.RecordBatch]:
         system, _ = resolve(self.path)
         bodies: list[bytes] = []
         place = 0
@@ -351,11 +537,17 @@ class BamReader(DataSourceReader):
             if data.fill():
                 data.take(partition.first if partition.first >= 0 else self._first(file, partition))
                 while data.fill() and data.block < partition.high:
-                    head = data.take(4)
-                    body = data.take(struct.unpack("<I", head)[0]) if len(head) == 4 else b""
-                    if len(head) < 4 or len(body) < struct.unpack("<I", head)[0]:
-                        raise ValueError(f"truncated record in {partition.path}")
-                    bodies.append(body)
+                    held, at = data.held, data.at
+                    while at + 4 <= len(held) and (end := at + 4 + int.from_bytes(held[at : at + 4], "little")) <= len(held):
+                        bodies.append(held[at + 4 : end])
+                        at = end
+                    data.at = at
+                    if at < len(held):  # a record that goes on in the next block
+                        head = data.take(4)
+                        body = data.take(struct.unpack("<I", head)[0]) if len(head) == 4 else b""
+                        if len(head) < 4 or len(body) < struct.unpack("<I", head)[0]:
+                            raise ValueError(f"truncated record in {partition.path}")
+                        bodies.append(body)
                     if len(bodies) >= 4096:
                         yield self._batch(bodies, partition, place)
                         place += len(bodies)
@@ -393,7 +585,7 @@ def read_bam(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The canonical relation of a file. Ordinals are file order: records before a run (one count a run) plus the place within it."""
     spark.dataSource.register(BamSource)
     rows = spark.read.format("bam").options(**options).load(path)
-    counts = rows.groupBy("split").count()
+    counts = spark.read.format("bam").options(**options | {"fields": "flag"}).load(path).groupBy("split").count()  # a scan that decodes next to nothing
     before = F.sum("count").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("split", F.coalesce(before, F.lit(0)).alias("before"))
     names = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", S.ALIGNMENTS)]
@@ -409,23 +601,16 @@ def header_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bam(rows: DataFrame, path: str, header: str, refs: list[tuple[str, int]], order: str = "ordinal", level: int = 6) -> None:
-    """One file with the full header, records in the given order. Tasks encode and deflate; the writer only joins finished blocks, one partition at a time."""
-    ordered = rows.repartitionByRange(order).sortWithinPartitions(order)
-    encoded = ordered.mapInArrow(_deflate(level), "blocks binary")
-    system, target = resolve(path)
-    with system.open_output_stream(target, compression=None) as out:
-        out.write(bgzf.compress(encode_header(header, refs), level)[: -len(bgzf.END_BLOCK)])
-        for row in encoded.toLocalIterator():
-            out.write(bytes(row["blocks"]))
-        out.write(bgzf.END_BLOCK)
+    """One file with the full header, records in the given order. All tasks encode and deflate at once, each into a file; the writer only joins these."""
+    head = bgzf.compress(encode_header(header, refs), level)[: -len(bgzf.END_BLOCK)]
+    concatenate(rows.repartitionByRange(order).sortWithinPartitions(order), _deflate(level), path, head, bgzf.END_BLOCK)
 
 
 def _deflate(level: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
-            data = b"".join(map(encode_record, batch.to_pylist()))
-            whole = bgzf.compress(data, level)[: -len(bgzf.END_BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["blocks"])
+            for _, records in encode_records(batch):
+                yield bgzf.compress(records.buffers()[2].to_pybytes(), level)[: -len(bgzf.END_BLOCK)]
 
     return run
 
@@ -435,16 +620,23 @@ def encoded(rows: DataFrame, order: str = "ordinal") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(order), pa.array([encode_record(r) for r in batch.to_pylist()], pa.binary())], names=[order, "record"])
+            for part, records in encode_records(batch):
+                yield pa.RecordBatch.from_arrays([part.column(order), records], names=[order, "record"])
 
     return rows.mapInArrow(run, f"{order} long, record binary")
 
 
 def view_bytes(rows: DataFrame, header: str, refs: list[tuple[str, int]], order: str = "ordinal") -> Iterator[bytes]:
     """The uncompressed file, piece by piece: header, then records in the given order. Tasks encode."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for _, records in encode_records(batch):
+                yield records.buffers()[2].to_pybytes()
+
     yield encode_header(header, refs)
-    for row in encoded(rows.repartitionByRange(order).sortWithinPartitions(order), order).toLocalIterator():
-        yield bytes(row["record"])
+    with pieces(rows.repartitionByRange(order).sortWithinPartitions(order), run) as parts:
+        yield from parts
 
 
 def uncompressed_size(spark: SparkSession, path: str) -> DataFrame:

@@ -280,6 +280,24 @@ def many_tasks(spark, monkeypatch):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+BAM_ROW = "ordinal long, ref_id int, pos int, mapq smallint, bin int, flag int, next_ref_id int, next_pos int, tlen int, read_name string, cigar array<struct<op:string,len:int>>, seq string, qual binary, tags array<struct<tag:string,type:string,value:string>>, tags_raw binary"
+
+
+def test_all_tasks_encode_a_bam_file_at_once(spark, tmp_path, many_tasks):
+    rows, path, refs_ = sample_rows(700), str(tmp_path / "x.bam"), [("a", 1000), ("b", 1000)]
+    table = spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in BAM_ROW.split(", ")) for r in rows], BAM_ROW).repartition(3)
+    bam.write_bam(table, path, "@HD\tVN:1.6\n", refs_)
+    whole = bam.encode_header("@HD\tVN:1.6\n", refs_) + b"".join(map(bam.encode_record, rows))
+    assert b"".join(bam.view_bytes(table, "@HD\tVN:1.6\n", refs_)) == whole
+    assert bam.header_text(spark, path).first()[0] == "@HD\tVN:1.6\n" and [tuple(r)[1:] for r in bam.ref_seqs(spark, path).collect()] == refs_
+    assert bam.uncompressed_size(spark, path).first()[1] == len(whole)
+    with open(path, "rb") as file:
+        assert bam._Inflated(file).take(len(whole) + 1) == whole and open(path, "rb").read().endswith(bgzf.END_BLOCK)
+    assert sorted(map(tuple, bam.read_bam(spark, path, fields="flag,pos,read_name").select("ordinal", "flag", "pos", "read_name").collect())) == [(r["ordinal"], r["flag"], r["pos"], r["read_name"]) for r in rows]
+    bam.write_bam(table.where("false"), path, "", refs_)
+    assert bam.read_bam(spark, path).count() == 0
+
+
 def test_all_tasks_encode_other_files_at_once(spark, tmp_path, many_tasks):
     path = str(tmp_path / "x")
     text.write_permutation(spark.range(5000).select(F.col("id").alias("rank"), (4999 - F.col("id")).alias("ordinal")), path)
@@ -291,3 +309,35 @@ def test_all_tasks_encode_other_files_at_once(spark, tmp_path, many_tasks):
     import gzip
 
     assert gzip.open(path, "rt").read() == "".join(f"a\t{i}\t{i + 1}\t2\n" for i in range(5000))
+
+
+def test_short_runs_share_tasks(spark, tmp_path, monkeypatch):
+    rows, path = sample_rows(3000), tmp_path / "x.bam"
+    data = bam.encode_header("", [("a", 1000), ("b", 1000)]) + b"".join(map(bam.encode_record, rows))
+    path.write_bytes(b"".join(bgzf.deflate(data[i : i + 400]) for i in range(0, len(data), 400)) + bgzf.END_BLOCK)
+    options = {"path": str(path), "split_bytes": "2000"}
+    runs = [r for t in bam.BamReader(options).partitions() for r in t.runs]
+    monkeypatch.setattr(bam, "TASKS", 5)
+    tasks = bam.BamReader(options).partitions()
+    assert len(tasks) <= 10 and max(len(t.runs) for t in tasks) > 9 and [r for t in tasks for r in t.runs] == runs and len(runs) > 100
+    got = bam.read_bam(spark, str(path), split_bytes="2000").select("ordinal", "read_name", "flag", "seq").collect()
+    assert sorted(map(tuple, got)) == [(r["ordinal"], r["read_name"], r["flag"], r["seq"]) for r in rows]
+
+
+def test_columns_are_encoded_as_records_are(monkeypatch):
+    import pyarrow as pa
+
+    rng, kinds = random.Random(8), pa.schema([("ordinal", pa.int64()), *bam.KINDS.items()])
+    plain = [r | {"tags": [t for t in r["tags"] if t["type"] in "ZiC"]} for r in sample_rows(200)]
+    gaps = [r | {"read_name": rng.choice([None, "", "x"]), "seq": rng.choice([None, "", "acgtxE9=*"]), "tags": rng.choice([None, [], r["tags"]]), "cigar": rng.choice([None, [], [{"op": "X", "len": (1 << 28) - 1}] * 2]), "qual": rng.choice([None, b"", b"\1\xff"])} for r in plain]
+    long_ = sample_rows(3)[2] | {"cigar": [{"op": "M", "len": 1}] * 70000, "seq": "AC", "qual": None, "tags": []}
+    raw = [r | {"tags_raw": b"NMC\xff" * rng.randint(0, 3)} for r in gaps]
+    for at_once in (bam.ENCODED, 3000):
+        monkeypatch.setattr(bam, "ENCODED", at_once)
+        for rows in (plain, gaps, raw, [*raw, *gaps], sample_rows(50), [plain[0], long_, plain[1]], [plain[0] | {"read_name": "\xe9"}], []):
+            parts = list(bam.encode_records(pa.RecordBatch.from_pylist(rows, schema=kinds)))
+            assert [x for _, y in parts for x in y.to_pylist()] == [bam.encode_record(r) for r in rows]
+            assert [x for p, _ in parts for x in p.column("ordinal").to_pylist()] == [r["ordinal"] for r in rows]
+    for wrong in ({"tags": [{"tag": "NM", "type": "C", "value": "256"}]}, {"mapq": -1}, {"pos": None}, {"read_name": "n" * 255}, {"cigar": [{"op": "Q", "len": 1}]}):
+        with pytest.raises((ValueError, struct.error)):
+            list(bam.encode_records(pa.RecordBatch.from_pylist([plain[0] | wrong], schema=kinds)))
